@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash
+from tessera.llm import language, minhash, packing, secret_scan, token_counts, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +16,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int):
+    """Of the checksum that splits rows into learned and held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = language.identify(table(spark, sf_dir, "documents"), learn=remainder(4) != 2)
+    return got.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
+    "op5_token_counts": op5_token_counts,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_retrieval_packing": op10_retrieval_packing,
 }
 
 ORACLE: dict[str, str] = {}
