@@ -21,15 +21,15 @@ BLOCK_ELEMENTS = 1_000_000
 
 
 def block_pairs(members: DataFrame, key: str, ident: str, weight: str, limit: int) -> DataFrame:
-    """Adds i, j: the pairs of blocks of its group that the row takes part in, so that all rows of a group meet.
+    """Adds own (the row's block) and i, j: the pairs of blocks of its group that the row takes part in, so that all rows of a group meet.
 
     A group within the limit is the one block (0, 0). Only sums for each group are gathered; hot groups are dealt out.
     """
     sums = members.groupBy(key).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("__blocks"))
-    rows = members.join(sums, key).withColumn("__own", F.pmod(F.xxhash64(ident), F.greatest("__blocks", F.lit(1))).cast("int"))
+    rows = members.join(sums, key).withColumn("own", F.pmod(F.xxhash64(ident), F.greatest("__blocks", F.lit(1))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("__blocks") - 1, F.lit(0)))).alias("__other")
     out = rows.select("*", other)
-    return out.withColumns({"i": F.least("__own", "__other"), "j": F.greatest("__own", "__other")}).drop("__blocks", "__own", "__other")
+    return out.withColumns({"i": F.least("own", "__other"), "j": F.greatest("own", "__other")}).drop("__blocks", "__other")
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
