@@ -15,64 +15,125 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tessera.llm.shared import documents, slices
 from tessera.llm.vocabularies import tokenizer
+from tessera.llm.words import words as split
 
 WINDOW, END = 4096, 2
 #: Documents and tokens of one shard's index at most; a longer document makes a shard of its own.
-SHARD_DOCS, SHARD_TOKENS = 1024, 1_500_000
+SHARD_DOCS, SHARD_TOKENS = 512, 1_000_000
 K1, B = 1.2, 0.75
+#: ASCII signs that the tokenizer's pattern takes as one run behind a letter (the apostrophe begins endings).
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+LATIN_END = "\u0250"
 #: Words whose ids a process keeps; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class WordIds(dict):
-    """Piece of text between blanks -> its ids as little-endian bytes.
+class WordIds:
+    """Token ids of whole texts, remembered by word.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its words in a row.
-    Case is folded and a final stop or comma split off first where that is surely what the tokenizer does.
+    Words are told apart by 64-bit hashes (words.py). Case is folded, and signs behind a letter are split off, where
+    that is surely what the tokenizer does. A text that spells a special token is encoded as a whole.
     """
 
     def __init__(self, vocabulary: str):
         self.one = tokenizer(vocabulary)
-        self.many = self.one.encode_batch_fast
-        self.stop = {c: self.raw([c])[0] for c in ".,"}
-        self[""] = b""
+        self.ends = np.array([(self.one.id_to_token(i) or "").endswith("</w>") for i in range(self.one.get_vocab_size())])
+        self.special = [t.content for t in self.one.get_added_tokens_decoder().values()]
+        self.bare = Tokenizer(self.one.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def raw(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.many(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self)
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            self[""] = b""
-            new = words.difference(self)
-        core: dict[str, tuple[str, str]] = {}
-        for w in new:
-            c, stop = w, ""
-            if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
-                c, stop = w[:-1], w[-1]
-            if c.isascii() or "Σ" not in c and "İ" not in c:
-                c = c.lower()
-            core[w] = (c, stop)
-        fresh = list({c for c, _ in core.values()}.difference(self))
-        self.update(zip(fresh, self.raw(fresh), strict=True))
-        for w, (c, stop) in core.items():
-            self[w] = self[c] + self.stop[stop] if stop else self[c]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts))
-        get = self.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.one.encode_batch_fast(words, add_special_tokens=False)]
+
+    def each(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of many words by few calls. Lower-cased Latin words of letters alone pass the normaliser unchanged and end
+        at an end-of-word piece each, so they share texts and go to the same model without normaliser and pattern."""
+        plain = [w for w in words if w.isalpha() and max(w) < LATIN_END and is_normalized("NFC", w)]
+        found: dict[str, bytes] = {}
+        texts = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
+        for own, e in zip(texts, self.bare.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, b in zip(own, (4 * ends).tolist(), strict=True):
+                    found[w] = raw[at:b]
+                    at = b
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.raw(rest), strict=True))
+        return found
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Remember the ids of new words (keys: their sorted hashes)."""
+        parts = []
+        for w in words:
+            c = w.rstrip(SIGNS)
+            if not c or not c[-1].isalpha():
+                c = w
+            parts.append((c.lower() if c.isascii() or "Σ" not in c and "İ" not in c else c, w[len(c) :]))
+        known = self.each(list({c for c, _ in parts}.union(t for _, t in parts if t)))
+        raws = [known[c] + known[t] if t else known[c] for c, t in parts]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        new = np.frombuffer(b"".join(raws), np.uint32)
+        while self.used + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(new)] = new
+        to = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, to, keys)
+        self.at = np.insert(self.at, to, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, to, sizes)
+        self.used += len(new)
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text."""
+        w = split(texts, lower=True)
+        encoded = pc.dictionary_encode(pa.array(w.hashes))
+        code, distinct = np.asarray(encoded.indices), np.asarray(encoded.dictionary)
+        if len(self.keys) + len(distinct) > REMEMBERED:
+            self.forget()
+        order = np.argsort(distinct)
+        ordered = distinct[order]
+        place = np.searchsorted(self.keys, ordered)
+        new = np.ones(len(ordered), bool)
+        near = place < len(self.keys)
+        new[near] = self.keys[place[near]] != ordered[near]
+        if new.any():
+            first = np.zeros(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            data, own = w.data.tobytes(), first[order[new]]
+            self.learn(ordered[new], [data[a:b].decode() for a, b in zip(w.starts[own].tolist(), w.ends[own].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, ordered)
+        row = np.empty(len(distinct), np.int64)
+        row[order] = place
+        row = row[code]
+        sizes = self.sizes[row]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.pool[np.arange(total) + np.repeat(self.at[row] - (ends - sizes), sizes)].astype("<u4").tobytes()
+        cuts = np.concatenate([[0], ends])[w.first].tolist()
+        out = [flat[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for t in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, t).fill_null(False)).tolist():
+                out[i] = self.raw([texts[i].as_py()])[0]
+        return out
 
 
 @cache
@@ -213,7 +274,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 end = np.array([END], "<u4").tobytes()
-                for doc, raw in zip(part.column("doc_id").to_pylist(), known.ids(part.column("text").to_pylist()), strict=True):
+                for doc, raw in zip(part.column("doc_id").to_pylist(), known.ids(part.column("text")), strict=True):
                     if held and (len(held) == SHARD_DOCS or size + len(raw) // 4 > SHARD_TOKENS):
                         packer.shard(held)
                         held, size = [], 0
