@@ -3,14 +3,14 @@
 Each language has probabilities for the pieces of a fixed public vocabulary. A word's probability is the sum over all
 ways to cut it into pieces, by the forward algorithm; a text's is the product over its words. The probabilities are
 fitted by expectation-maximisation (forward-backward) on a bounded sample of labelled rows. Words are lower-cased runs
-outside white space and without digits; cuts never cross words, so equal words share one computation. Words of over 32 characters are
+of letters; cuts never cross words, so equal words share one computation. Words of over 32 characters are
 cut every 32 characters, so that their probabilities stay within doubles.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -26,47 +26,87 @@ from tessera.llm.vocabularies import SPACE, pieces
 #: Labelled documents that a language is learned from; all if it has fewer.
 DOCS_PER_LANGUAGE = 150
 ROUNDS, PRIOR, UNKNOWN, LONGEST = 2, 0.02, 1e-8, 32
-DIGIT = re.compile(rb"[0-9]")
-LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")
+ALPHABET = 127
 #: A text's log odds are scaled down to those of so many words, so that scores tell long texts apart too.
 SCORED_WORDS = 40
 REMEMBERED = 300_000
 
 
-@cache
-def lexicon(vocabulary: str) -> dict[str, int]:
-    """Lower-cased plain pieces and single characters -> their row in a model; the last row is for unknown characters."""
-    plain = [p.lower() for p in pieces(vocabulary) if not (p.startswith("<") and p.endswith(">") and len(p) > 2)]
-    return {p: i for i, p in enumerate(dict.fromkeys(p for p in plain if SPACE not in p[1:]))}
+@dataclass
+class Trie:
+    """Pieces as a table: first[code point] and next[node, letter] give nodes, piece[node] the piece that ends there.
 
+    Letters are the ALPHABET characters that most pieces use; a piece of several characters must be made of them, of
+    single characters all are kept. size: number of pieces, which is also the row of an unknown character.
+    """
 
-@cache
-def longest(vocabulary: str) -> int:
-    return max(map(len, lexicon(vocabulary)))
+    first: np.ndarray
+    next: np.ndarray
+    piece: np.ndarray
+    letter: np.ndarray
+    size: int
+    width: int
 
 
-def lattices(words: list[str], vocabulary: str) -> Iterator[tuple[list[int], np.ndarray]]:
+@cache
+def trie(vocabulary: str) -> Trie:
+    plain = [p.lower() for p in pieces(vocabulary) if not (p.startswith("<") and p.endswith(">") and len(p) > 2)]
+    known = {p for p in plain if SPACE not in p[1:] and p != SPACE}
+    used = Counter(c for p in known if len(p) > 1 for c in p)
+    letters = {c: i for i, (c, _) in enumerate(sorted(used.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
+    kept = sorted(p for p in known if len(p) == 1 or all(c in letters for c in p))
+    letter = np.full(0x110000, ALPHABET, np.uint8)
+    for c, i in letters.items():
+        letter[ord(c)] = i
+    first = np.full(0x110000, -1, np.int32)
+    edges: dict[tuple[int, int], int] = {}
+    ends: list[int] = []
+    for row, p in enumerate([*kept, SPACE]):
+        node = int(first[ord(p[0])])
+        if node < 0:
+            node = first[ord(p[0])] = len(ends)
+            ends.append(-1)
+        for c in p[1:]:
+            to = edges.get((node, letters[c]))
+            if to is None:
+                to = edges[node, letters[c]] = len(ends)
+                ends.append(-1)
+            node = to
+        ends[node] = row
+    follow = np.full((len(ends), ALPHABET + 1), -1, np.int32)
+    for (node, c), to in edges.items():
+        follow[node, c] = to
+    return Trie(first, follow, np.array(ends, np.int32), letter, len(kept) + 1, max(map(len, kept)))
+
+
+def lattices(words: list[str], vocabulary: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words of one length together: their places in the list, and rows[word, start, size - 1] of pieces (-1: none)."""
-    known, width = lexicon(vocabulary), longest(vocabulary)
+    t = trie(vocabulary)
     by_length = defaultdict(list)
     for i, w in enumerate(words):
         by_length[len(w)].append(i)
-    unknown = len(known)
     for n, members in by_length.items():
         if not n:
             continue
-        rows = np.full((len(members), n, min(n, width)), -1, np.int32)
-        for r, i in enumerate(members):
-            w = words[i]
-            got = known.get
-            for a in range(n):
-                for k in range(1, min(n - a, width) + 1):
-                    p = got(w[a : a + k], -1)
-                    if p >= 0:
-                        rows[r, a, k - 1] = p
-                if rows[r, a, 0] < 0:
-                    rows[r, a, 0] = unknown
-        yield members, rows
+        points = np.frombuffer("".join([words[i] for i in members]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        letter = t.letter[points]
+        rows = np.full((len(members), n, min(n, t.width)), -1, np.int32)
+        for a in range(n):
+            node = t.first[points[:, a]]
+            at = np.flatnonzero(node >= 0)
+            node = node[at]
+            rows[at, a, 0] = t.piece[node]
+            lone = rows[:, a, 0] < 0
+            rows[lone, a, 0] = t.size
+            for k in range(1, min(n - a, t.width)):
+                node = t.next[node, letter[at, a + k]]
+                on = node >= 0
+                node, at = node[on], at[on]
+                if not len(at):
+                    break
+                rows[at, a, k] = t.piece[node]
+        yield np.array(members), rows
 
 
 def forward(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -122,7 +162,7 @@ def fit(counts: list[tuple[str, str, int]], vocabulary: str) -> Model:
             weights[w][place[language]] += times
     words = list(weights)
     weight = np.array([weights[w] for w in words]).reshape(len(words), len(languages))
-    size = len(lexicon(vocabulary)) + 1
+    size = trie(vocabulary).size + 1
     p = np.full((size, len(languages)), 1 / size)
     p[-1] = UNKNOWN
     made = list(lattices(words, vocabulary))
@@ -145,7 +185,7 @@ def sample_counts(docs: DataFrame, label: str, learn: Column, per_language: int)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     drawn = rows.where(draw < share[F.col(label)]).select(label, "text").limit(2 * per_language * len(sizes))
-    words = drawn.select(F.col(label).alias("l"), F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> '' AND NOT w RLIKE '[0-9]'")
+    words = drawn.select(F.col(label).alias("l"), F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("w")).where("w <> ''")
     return [(r.l, r.w, r.n) for r in words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
@@ -157,19 +197,17 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.languages)))
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[str]) -> None:
         new = list(words.difference(self.at))
         if len(self.at) + len(new) > REMEMBERED:
             self.clear()
             new = list(words)
         parts, owner = [], []
         for i, w in enumerate(new):
-            if DIGIT.search(w):  # numbers, keys and digests belong to no language
-                continue
-            for c in cut(w.decode().lower()):
+            for c in cut(w):
                 parts.append(c)
                 owner.append(i)
         scores = np.zeros((len(new), len(self.model.languages)))
@@ -183,11 +221,11 @@ class Scorer:
         self.at.update(zip(new, range(n, n + len(new)), strict=True))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        split = [t.encode().split() for t in texts]
+        split = [WORD.findall(t.lower()) for t in texts]
         self.learn(set().union(*split))
         out = []
-        for t, words in zip(texts, split, strict=True):
-            if not LETTER.search(t):
+        for words in split:
+            if not any(w.isalpha() for w in words) and not any(c.isalpha() for w in words for c in w):
                 out.append(("und", 0.0))
                 continue
             s = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0)
