@@ -25,7 +25,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near-duplicates (five-word shingles, 0.8): the one of least doc_id."""
     gone = minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     rest = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    return rest.dropDuplicates(["doc_id"]) if repeated(docs) else rest
+    return rest.dropDuplicates(["doc_id", "text"]) if repeated(docs) else rest
 
 
 def repeated(docs: DataFrame) -> bool:

@@ -122,7 +122,7 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     rates = host_rates(rows.select("host", rule_failed().alias("failed")))
     out = with_hosts(rows, rates)
     kept = ~rule_failed() & (F.col("rate") <= HOST_LIMIT)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"), F.col("rate").alias("host_rate"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"), F.round("rate", 6).alias("host_rate"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:

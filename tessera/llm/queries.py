@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import embeddings, language, minhash, packing, quality, secret_scan, substrings, token_counts, toxicity, transducer
+from tessera.llm.oracles import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,5 +78,3 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_retrieval_packing": op10_retrieval_packing,
 }
-
-ORACLE: dict[str, str] = {}

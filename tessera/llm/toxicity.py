@@ -27,6 +27,8 @@ from tessera.llm.shared import documents, map_arrow
 
 #: Labelled rows that teach, for each label at most.
 SAMPLE = {1: 1500, 0: 3000}
+#: Longer texts do not teach, so that the sample has a bound in bytes too; they are scored like all others.
+SAMPLE_CHARS = 20_000
 #: Stem lengths; a stem is a word's beginning, or a whole word with its end.
 SHORTEST, LONGEST_STEM = 3, 10
 #: A stem's documents among toxic ones: share and number at least; its log odds, less their uncertainty, at least.
@@ -192,7 +194,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> lis
         own = labels.where(learn & (F.col(label) == value)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = own if ids is None else ids.unionByName(own)
-    texts = docs.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(ids), "doc_id").select("text", "y").limit(2 * sum(SAMPLE.values())).collect()  # ids are bounded by SAMPLE
     return sorted((r.text, r.y) for r in rows)
 
