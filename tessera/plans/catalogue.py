@@ -11,9 +11,10 @@ from tessera.functions.encoding import delta_encode, dictionary_encode, rle_enco
 from tessera.functions.expressions import int_div, wide
 from tessera.functions.stats import column_stats, equi_depth_exact
 from tessera.functions.vectors import dot
+from tessera.functions.visibility import ReadView, visible
 from tessera.operators import joins
 from tessera.operators import relational as rel
-from tessera.sources.snapshots import delete_rows, update_rows
+from tessera.sources.snapshots import delete_rows, union_all, update_rows
 from tessera.sources.tables import point_lookup, range_lookup, scan, values
 from tessera.streaming import windowed_counts
 
@@ -301,6 +302,39 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(scan(spark, d, "events"), "1 hour").withColumn("window_start", c("window_start").cast("timestamp_ntz"))
 
 
+@query("SELECT * FROM orders WHERE o_orderkey = 777")
+def index_point(spark: SparkSession, d: str) -> DataFrame:
+    return point_lookup(scan(spark, d, "orders"), "o_orderkey", 777)
+
+
+@query("SELECT COUNT(*) AS cnt FROM lineitem WHERE l_partkey + l_suppkey > 1000 AND l_quantity < 30")
+def predicate_count(spark: SparkSession, d: str) -> DataFrame:
+    return rel.aggregate(rel.keep(scan(spark, d, "lineitem"), (c("l_partkey") + c("l_suppkey") > 1000) & (c("l_quantity") < 30)), [], {"cnt": ("count", "*")})
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (90, 'NORTH'), (91, 'SOUTH')) v")
+def insert_values(spark: SparkSession, d: str) -> DataFrame:
+    return union_all([scan(spark, d, "region"), values(spark, [(90, "NORTH"), (91, "SOUTH")], "r_regionkey int, r_name string")])
+
+
+@query("""WITH f AS (SELECT p_type, MIN(p_partkey) AS m FROM part GROUP BY p_type) SELECT p_partkey, code
+          FROM part JOIN (SELECT p_type, ROW_NUMBER() OVER (ORDER BY m) - 1 AS code FROM f) k USING (p_type)""")
+def dict_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary_encode(scan(spark, d, "part"), "p_type", "p_partkey").select("p_partkey", wide(c("code")).alias("code"))
+
+
+@query("""SELECT MIN(p_partkey) AS mi, p_size FROM part WHERE p_size < 10 GROUP BY p_size HAVING MIN(p_partkey) < 100""")
+def agg_having_min(spark: SparkSession, d: str) -> DataFrame:
+    return rel.aggregate(rel.keep(scan(spark, d, "part"), c("p_size") < 10), ["p_size"], {"mi": ("min", "p_partkey")}, having=c("mi") < 100)
+
+
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, o_orderkey % 12 AS i, o_custkey % 12 AS x, o_orderstatus = 'F' AS gone FROM orders) v
+          WHERE (i = 10 OR i = 0 OR (i < 10 AND i NOT IN (3, 7))) AND NOT (gone AND (x = 10 OR x = 0 OR (x < 10 AND x NOT IN (3, 7))))""")
+def mvcc_visible(spark: SparkSession, d: str) -> DataFrame:
+    versions = scan(spark, d, "orders").select("o_orderkey", (c("o_orderkey") % 12).alias("_ins_txn"), (c("o_custkey") % 12).alias("_del_txn"), (c("o_orderstatus") == "F").alias("_deleted"))
+    return rel.keep(versions, visible(ReadView(me=10, limit=10, active={3, 7}))).select("o_orderkey")
+
+
 QUERIES |= {"update_rows": QUERIES.pop("update_customers"), "delete_rows": QUERIES.pop("delete_customers"), "delta_encode": QUERIES.pop("delta_keys")}
 ORACLE |= {"update_rows": ORACLE.pop("update_customers"), "delete_rows": ORACLE.pop("delete_customers"), "delta_encode": ORACLE.pop("delta_keys")}
 
