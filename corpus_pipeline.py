@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, packing, quality, secret_scan, substrings
-from tessera.llm.shared import save
+from tessera.llm.shared import release, save, written
 
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -61,5 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = written()
+        made = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, before, docs, keep=made)  # what the stage wrote on its way, and what it read
+        docs = made
     return docs

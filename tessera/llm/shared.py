@@ -29,16 +29,34 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: cuts the lineage, and survives a lost executor."""
     path = f"{shared_folder(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables this driver has saved so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *read: DataFrame, keep: DataFrame) -> None:
+    """Delete the tables saved since then, and those read, but for the one to keep."""
+    paths = {*_written[since:], *(getattr(df, "_tessera_path", None) for df in read)} - {keep._tessera_path, None}
+    for path in sorted(paths):
+        remove(spark, path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what save() wrote; for tables that no later plan reads."""
-    path = getattr(df, "_tessera_path", None)
+    remove(df.sparkSession, getattr(df, "_tessera_path", None))
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
     if path:
-        spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
