@@ -1,7 +1,7 @@
 """Run-length, delta and dictionary encoding of an ordered column, as window plans.
 
-An order over all rows needs one sequence. Pass `within` columns to encode segments side by side; without them
-the rows are range-partitioned by the order column and only one carry row a partition meets, so no task holds all.
+Pass `within` columns to encode segments side by side; without them the order is over all rows (ordering.py): ranges
+of it are encoded side by side, and only one carry row a range is put in sequence.
 """
 
 from __future__ import annotations
@@ -11,12 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PART, CARRY = "__part", "__carry"
+from tessera.functions.ordering import PART, before, numbered, ranged
 
-
-def _parts(df: DataFrame, order: str) -> DataFrame:
-    """Range partitions numbered in the order's sequence; equal keys share a partition."""
-    return df.repartitionByRange(F.col(order)).withColumn(PART, F.spark_partition_id())
+CARRY = "__carry"
 
 
 def _previous(df: DataFrame, value: str, order: str, within: Sequence[str]) -> DataFrame:
@@ -24,12 +21,12 @@ def _previous(df: DataFrame, value: str, order: str, within: Sequence[str]) -> D
     if within:
         w = Window.partitionBy(*within).orderBy(order)
         return df.withColumns({"__prev": F.lag(value).over(w), "__first": F.row_number().over(w) == 1})
-    parts = _parts(df, order)
+    parts = ranged(df, order)
     last = parts.groupBy(PART).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias(CARRY))
-    before = last.select(PART, F.lag(CARRY).over(Window.orderBy(PART)).alias(CARRY))  # one row a partition
+    carried = last.select(PART, F.lag(CARRY).over(Window.orderBy(PART)).alias(CARRY))  # one row a range
     w = Window.partitionBy(PART).orderBy(order)
     first = F.row_number().over(w) == 1
-    return parts.join(F.broadcast(before), PART).withColumns({"__prev": F.when(first, F.col(CARRY)["v"]).otherwise(F.lag(value).over(w)), "__first": first & F.col(CARRY).isNull()}).drop(CARRY)
+    return parts.join(F.broadcast(carried), PART).withColumns({"__prev": F.when(first, F.col(CARRY)["v"]).otherwise(F.lag(value).over(w)), "__first": first & F.col(CARRY).isNull()}).drop(CARRY)
 
 
 def rle_encode(df: DataFrame, value: str, order: str, within: Sequence[str] = ()) -> DataFrame:
@@ -41,7 +38,7 @@ def rle_encode(df: DataFrame, value: str, order: str, within: Sequence[str] = ()
         keys = [*within]
     else:
         sums = starts.groupBy(PART).agg(F.sum("__new").alias("__n"))
-        base = sums.select(PART, F.coalesce(F.sum("__n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+        base = sums.select(PART, before(sums, "__n").alias("__base"))
         starts = starts.join(F.broadcast(base), PART)
         run = F.col("__base") + F.sum("__new").over(Window.partitionBy(PART).orderBy(order))
         keys = []
@@ -67,7 +64,7 @@ def delta_decode(df: DataFrame, delta: str, order: str, within: Sequence[str]) -
 def dictionary(df: DataFrame, value: str, order: str | None = None) -> DataFrame:
     """Distinct values with codes from 0: by first appearance along order, else sorted. NULL has no code."""
     distinct = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order or value).alias("__at"))
-    return distinct.select(value, (F.row_number().over(Window.orderBy("__at", value)) - 1).alias("code"))
+    return numbered(distinct, "__at", value).select(value, F.col("__n").alias("code"))
 
 
 def dictionary_encode(df: DataFrame, value: str, order: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import numbered
+
 
 def column_stats(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
     """One row: rows, null_count, ndv, mi, ma. ndv is a HyperLogLog++ estimate unless exact."""
@@ -13,20 +15,12 @@ def column_stats(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
 
 
 def equi_depth_exact(df: DataFrame, column: str, tie: str, buckets: int) -> DataFrame:
-    """bucket, mi, ma, cnt, ndv with NTILE's bucket sizes, ties broken by `tie`.
-
-    Rows are ranked inside range partitions; only one count a partition is summed in sequence, so no task sees all rows.
-    """
-    parts = df.where(F.col(column).isNotNull()).select(column, tie).repartitionByRange(column, tie).withColumn("__part", F.spark_partition_id())
-    sums = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__part")
-    base = sums.select("__part", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    rank = F.col("__base") + F.row_number().over(Window.partitionBy("__part").orderBy(column, tie)) - 1
-    small, more = F.floor(F.col("__all") / buckets), F.col("__all") % buckets
+    """bucket, mi, ma, cnt, ndv with NTILE's bucket sizes, ties broken by `tie`."""
+    ranked = numbered(df.where(F.col(column).isNotNull()).select(column, tie), column, tie)
+    rank, small, more = F.col("__n"), F.floor(F.col("__all") / buckets), F.col("__all") % buckets
     wide = more * (small + 1)  # the first `more` buckets hold one row more
     bucket = F.when(rank < wide, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - wide) / F.greatest(small, F.lit(1)))) + 1
-    ranked = parts.join(F.broadcast(base), "__part").withColumn("bucket", bucket.cast("bigint"))
-    return ranked.groupBy("bucket").agg(F.min(column).alias("mi"), F.max(column).alias("ma"), F.count(F.lit(1)).alias("cnt"), F.count_distinct(column).alias("ndv"))
+    return ranked.withColumn("bucket", bucket.cast("bigint")).groupBy("bucket").agg(F.min(column).alias("mi"), F.max(column).alias("ma"), F.count(F.lit(1)).alias("cnt"), F.count_distinct(column).alias("ndv"))
 
 
 def selectivity(histogram: list[dict], op: str, value: float) -> float:

@@ -14,8 +14,22 @@ STRATEGIES = {
 }
 
 
+#: Bytes of a side that may be sent to every task.
+BROADCAST_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate for the rows; very large where it knows nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", strategy: str | None = None) -> DataFrame:
-    """Every conjunct of the condition holds, and the join type is honoured. Left columns come first."""
+    """Every conjunct of the condition holds, and the join type is honoured. Left columns come first.
+
+    A broadcast is asked for only if the right side is estimated within BROADCAST_BYTES; beyond it the choice is Spark's.
+    """
+    if strategy == "broadcast" and estimated_bytes(right) > BROADCAST_BYTES:
+        strategy = None
     if strategy is not None:
         right = right.hint(STRATEGIES[strategy])
     return left.join(right, on, how)

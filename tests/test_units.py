@@ -41,7 +41,7 @@ def test_outer_joins(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "x int")
     b = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r"), (None, "s")], "y int, v string")
     on = F.col("x") == F.col("y")
-    for strategy in (None, "hash", "merge"):
+    for strategy in (None, "hash", "merge", "broadcast"):
         assert joins.join(a, b, on, "inner", strategy).count() == 4
         assert joins.join(a, b, on, "left", strategy).count() == 6
         assert joins.join(a, b, on, "right", strategy).count() == 6
@@ -74,6 +74,24 @@ def test_delta(spark):
     assert delta_encode(df.where("false"), "v", "i").count() == 0
 
 
+def test_order_over_many_ranges(spark):
+    """More rows than the range bounds' sample looks at, extra columns and ties."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("i"), (F.col("id") * 7919 % 20_000 % 13).alias("v"), F.lit("x").alias("extra"))
+    out = delta_encode(df, "v", "i")
+    assert out.where("delta NOT IN (0, 1, -12)").count() == 0 and out.count() == 20_000
+    assert rle_encode(df.withColumn("v", F.expr("i DIV 100")), "v", "i").where("cnt <> 100 OR run_start % 100 <> 0").count() == 0
+    codes = dictionary_encode(df, "i")
+    assert codes.where("code <> i").count() == 0
+
+
+def test_broadcast_is_checked(spark, monkeypatch):
+    a, b = spark.range(5).toDF("x"), spark.range(5).toDF("y")
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    assert "strategy=broadcast" not in joins.join(a, b, F.col("x") == F.col("y"), "inner", "broadcast")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1 << 20)
+    assert "strategy=broadcast" in joins.join(a, b, F.col("x") == F.col("y"), "inner", "broadcast")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dictionary(spark):
     df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, None)], "i int, v string")
     assert rows(dictionary_encode(df, "v", "i").select("i", "code")) == [(0, 0), (1, 1), (2, 0), (3, None)]
