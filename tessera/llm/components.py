@@ -22,28 +22,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for each node with an edge to another; component is the least id reachable. NULL ends and loops are ignored."""
     e = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
     e = save(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
     spark = e.sparkSession
-    if e.isEmpty():
-        return spark.createDataFrame([], "id bigint, component bigint")
-    while True:
+    steps: list[DataFrame] = []
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(_rank("b")).alias("m"))
         pointers = save(near.select(F.col("a").alias("n"), F.least(_rank("a"), F.col("m"))["id"].alias("p")), "pointers")
-        if labels is None:
-            now = pointers.select(F.col("n").alias("id"), F.col("p").alias("root"))
-        else:
-            now = labels.join(pointers, labels["root"] == pointers["n"], "left").select("id", F.coalesce("p", "root").alias("root"))
-        now = save(now, "labels")
         left = e.join(pointers.select(F.col("n").alias("a"), F.col("p").alias("x")), "a")
         right = left.join(pointers.select(F.col("n").alias("b"), F.col("p").alias("y")), "b")
         after = save(right.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        for old in (e, pointers, labels):
-            if old is not None:
-                drop(old)
-        e, labels = after, now
-        if e.isEmpty():
-            drop(e)
-            break
+        drop(e)
+        e = after
+        steps.append(pointers)
+    drop(e)
+    if not steps:
+        return spark.createDataFrame([], "id bigint, component bigint")
+    labels = steps[0].select(F.col("n").alias("id"), F.col("p").alias("root"))  # a node keeps the pointers of every round
+    for p in steps[1:]:
+        labels = labels.join(p, labels["root"] == p["n"], "left").select("id", F.coalesce("p", "root").alias("root"))
+    labels = save(labels, "labels")
+    for p in steps:
+        drop(p)
     least = labels.groupBy("root").agg(F.min("id").alias("component"))
     return labels.join(least, "root").select("id", "component")

@@ -40,7 +40,7 @@ FLIPS, FACTORS = fixed(31, ROWS * BANDS), fixed(32, ROWS * BANDS)
 
 def seeds(w: Words) -> np.ndarray:
     """Word indices where seeds start: least shingle of SPREAD neighbours (the last of equals), if the text goes on for SEED words."""
-    _, inside = w.windows(SEED)
+    inside = w.inside(SEED)
     order, _ = w.windows(SHINGLE)
     n = len(order)
     if n < PASSAGE:
@@ -78,16 +78,27 @@ def line_set(shingles: np.ndarray, a: int, b: int) -> np.ndarray:
     return np.unique(shingles[a : b - SHINGLE + 1])
 
 
-def content(s: np.ndarray) -> int:
-    """A set's 64-bit name."""
-    return int(mix(np.atleast_1d(mix(s).sum(dtype=np.uint64) + U(len(s)))).view(np.int64)[0])
+def names(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each set."""
+    return mix(sums(sets) + np.fromiter(map(len, sets), np.uint64, len(sets))).view(np.int64)
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    minima = np.array([((s ^ f) * c).min() for f, c in zip(FLIPS, FACTORS, strict=True)], np.uint64).reshape(BANDS, ROWS)
-    out = mix(minima[:, 0] + np.arange(BANDS, dtype=np.uint64))
-    for r in range(1, ROWS):
-        out = mix(out ^ minima[:, r])
+def sums(sets: list[np.ndarray]) -> np.ndarray:
+    if not sets:
+        return np.zeros(0, np.uint64)
+    at = np.cumsum([0, *map(len, sets)])[:-1]
+    return np.add.reduceat(mix(np.concatenate(sets)), at)
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of each (non-empty) set."""
+    if not sets:
+        return np.zeros((0, BANDS), np.int64)
+    x, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for i, (f, c) in enumerate(zip(FLIPS, FACTORS, strict=True)):
+        least = np.minimum.reduceat((x ^ f) * c, at)
+        out[:, i // ROWS] = mix((out[:, i // ROWS] if i % ROWS else np.uint64(i)) ^ least)
     return out.view(np.int64)
 
 
@@ -99,15 +110,14 @@ def units(docs: DataFrame) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> dict:
         w = words(part.column("text"))
-        hashes, _ = w.windows(SEED)
         shingles, _ = w.windows(SHINGLE)
         ids = np.asarray(part.column("doc_id"))
         s = seeds(w)
         doc = np.searchsorted(w.first, s, "right") - 1
         text, a, b = line_words(w)
         sets = [line_set(shingles, x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        keys = np.concatenate([hashes[s].view(np.int64), np.array([content(x) for x in sets], np.int64)])
-        lists = [None] * len(s) + [bands(x) for x in sets]
+        keys = np.concatenate([w.windows_at(s, SEED).view(np.int64), names(sets)])
+        lists = [None] * len(s) + list(bands(sets))
         return {"doc_id": np.concatenate([ids[doc], ids[text]]), "at": np.concatenate([s - w.first[doc], a - w.first[text]]).astype(np.int32), "key": keys, "bands": pa.array(lists, pa.list_(pa.int64()))}
 
     return map_arrow(docs.where("doc_id IS NOT NULL"), run, UNITS)
@@ -121,31 +131,35 @@ def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> dict:
         w = words(part.column("text"))
-        shingles, _ = w.windows(SHINGLE)
-        hashes, _ = w.windows(WINDOW)
         lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-        ids = part.column("doc_id").to_pylist()
-        lines = {int(x): int(y) for _, x, y in zip(*line_words(w), strict=True)}
-        out: dict = {c.split()[0]: [] for c in FOUND.split(", ")}
-
-        def add(kind: int, h1: int, h2: int, i: int, a: int, b: int, elements: bytes | None) -> None:
-            base = lead[w.at[i]]
-            row = (kind, h1, h2, ids[i], a - int(w.first[i]), int(lead[w.starts[a]] - base), int(lead[w.ends[b - 1]] - base), elements)
-            for c, v in zip(out.values(), row, strict=True):
-                c.append(v)
-
-        for i, places in enumerate(part.column("places").to_pylist()):
-            first, end = int(w.first[i]), int(w.first[i + 1])
-            starts = {first + p["at"] - s for p in places if p["kind"] == 0 for s in SHIFTS}
-            for a in sorted(x for x in starts if first <= x and x + WINDOW <= end):
-                h = hashes[a : a + 1]
-                add(0, int(h.view(np.int64)[0]), int(np.bitwise_xor.reduce(mix(w.hashes[a : a + WINDOW] + np.arange(WINDOW, dtype=np.uint64))).view(np.int64)), i, a, a + WINDOW, None)
-            for p in places:
-                if p["kind"] and first + p["at"] in lines:
-                    a = first + p["at"]
-                    s = line_set(shingles, a, lines[a])
-                    add(1, content(s), 0, i, a, lines[a], s.tobytes() if p["kind"] == 2 else None)
-        return out
+        ids = np.asarray(part.column("doc_id"))
+        places = part.column("places")
+        text = np.repeat(np.arange(len(w)), np.diff(np.asarray(places.offsets)))
+        inner = places.flatten()
+        at, kind = (np.asarray(inner.field(c)) for c in ("at", "kind"))
+        at = at + w.first[text]
+
+        seed = kind == 0
+        a = (at[seed][:, None] - np.array(SHIFTS)).ravel()
+        own = np.repeat(text[seed], len(SHIFTS))
+        good = (a >= w.first[own]) & (a + WINDOW <= w.first[own + 1])
+        a, first = np.unique(a[good], return_index=True)
+        own = own[good][first]
+        h1, h2 = w.windows_at(a, WINDOW).view(np.int64), w.windows_at(a, WINDOW, 14).view(np.int64)
+        b = a + WINDOW
+
+        ends = {int(x): int(y) for _, x, y in zip(*line_words(w), strict=True)} if not seed.all() else {}
+        rows = [(i, x, ends[x], k == 2) for i, x, k in zip(text[~seed].tolist(), at[~seed].tolist(), kind[~seed].tolist(), strict=True) if x in ends]
+        shingles = w.windows(SHINGLE)[0] if rows else None
+        sets = [line_set(shingles, x, y) for _, x, y, _ in rows]
+        own = np.concatenate([own, np.array([r[0] for r in rows], np.int64)])
+        a, b = np.concatenate([a, np.array([r[1] for r in rows], np.int64)]), np.concatenate([b, np.array([r[2] for r in rows], np.int64)])
+        base = lead[w.at[own]]
+        return {
+            "kind": np.repeat(np.array([0, 1], np.int32), [len(h1), len(rows)]), "h1": np.concatenate([h1, names(sets)]), "h2": np.concatenate([h2, np.zeros(len(rows), np.int64)]),
+            "doc_id": ids[own], "at": (a - w.first[own]).astype(np.int32), "start": lead[w.starts[a]] - base, "end": lead[w.ends[b - 1]] - base,
+            "elements": pa.array([None] * len(h1) + [s.tobytes() if r[3] else None for r, s in zip(rows, sets, strict=True)], pa.binary()),
+        }
 
     texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "text", "places")
     return map_arrow(texts, run, FOUND)

@@ -68,10 +68,20 @@ class Words:
         out = np.zeros(n - k + 1, np.uint64)
         for i, c in enumerate(fixed(13, k)):
             out += mix(self.hashes[i : n - k + 1 + i] ^ c) * c
-        inside = np.ones(n, bool)
-        for i in range(1, k):
-            inside[np.maximum(self.first[1:] - i, self.first[:-1])[self.first[1:] > self.first[:-1]]] = False
-        return np.concatenate([mix(out), np.zeros(k - 1, np.uint64)]), inside
+        return np.concatenate([mix(out), np.zeros(k - 1, np.uint64)]), self.inside(k)
+
+    def inside(self, k: int) -> np.ndarray:
+        """Whether the k words from each word on lie in its text."""
+        room = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes))
+        return room >= k
+
+    def windows_at(self, at: np.ndarray, k: int, seed: int = 13) -> np.ndarray:
+        """Hash of the k words from each given word on (all inside a text); another seed, an independent hash."""
+        factors, out = fixed(seed, k), np.zeros(len(at), np.uint64)
+        for a in range(0, len(at), 16384):
+            m = self.hashes[at[a : a + 16384, None] + np.arange(k)]
+            out[a : a + 16384] = mix((mix(m ^ factors) * factors).sum(1, dtype=np.uint64))
+        return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
