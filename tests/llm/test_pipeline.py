@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from tests.llm.helpers import frame, prose
+from tests.llm.helpers import blanks_split, frame, prose
+from tests.llm.test_minhash import brute
+from tests.llm.test_quality import measures
 
 
 def corpus():
@@ -51,3 +53,73 @@ def test_run(spark, tmp_path):
     assert out.select("doc_id").distinct().count() == 40
     frame(spark, {}).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def runs_elsewhere(texts, k):
+    """doc_id -> which words lie in k words in a row that a document of less doc_id holds too."""
+    split = {i: blanks_split(t) for i, t in texts.items()}
+    first = {}
+    for i in sorted(split):
+        for j in range(len(split[i]) - k + 1):
+            first.setdefault(tuple(split[i][j : j + k]), i)
+    out = {}
+    for i, w in split.items():
+        out[i] = [False] * len(w)
+        for j in range(len(w) - k + 1):
+            if first[tuple(w[j : j + k])] != i:
+                out[i][j : j + k] = [True] * k
+    return out
+
+
+def test_against_brute_force(spark, tmp_path):
+    """Every stage's decisions, recomputed in plain Python from that stage's own input."""
+    rnd = random.Random(11)
+    texts = corpus()
+    shared = [prose(rnd, rnd.randrange(52, 90)) for _ in range(3)]
+    for i in range(100, 160):
+        w = prose(rnd, rnd.randrange(5, 220))
+        if rnd.random() < 0.5:
+            w[len(w) // 2 : len(w) // 2] = rnd.choice(shared)
+        texts[i] = " ".join(w)
+    for i in range(160, 175):
+        w = texts[rnd.randrange(100, 160)].split(" ")
+        w[rnd.randrange(len(w))] = "edited"
+        texts[i] = " ".join(w)
+    docs = frame(spark, texts)
+    seen = [texts]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{len(seen)}")
+        docs = spark.read.parquet(f"{tmp_path}/{len(seen)}")
+        seen.append({r.doc_id: r.text for r in docs.collect()})
+
+    good = set()
+    for i, t in seen[0].items():
+        n, chars, symbols, dups, repeats = measures(t)
+        lines = sum(bool(blanks_split(x)) for x in (t or "").split("\n"))
+        if n >= 10 and 100 * repeats <= 20 * n and 10 * symbols <= n and 10 * dups <= 3 * lines and 3 * n <= chars <= 10 * n:
+            good.add(i)
+    assert seen[1].keys() == good  # one host, whose rate stays low
+
+    least = brute(seen[1], 5, 80)
+    assert seen[2].keys() == {i for i, (_, c) in least.items() if c == i}
+
+    wide, strict = runs_elsewhere(seen[2], 45), runs_elsewhere(seen[2], 51)
+    for i, t in seen[2].items():
+        kept, left = [], blanks_split(seen[3].get(i, ""))
+        words = blanks_split(t)
+        # what is left is a subsequence: words outside shared runs all stay, and few of those inside do
+        at = 0
+        for w, gone in zip(words, wide[i], strict=True):
+            if at < len(left) and left[at] == w:
+                kept.append(True)
+                at += 1
+            else:
+                assert gone, (i, w)
+                kept.append(False)
+        assert at == len(left)
+        stayed = sum(k and s for k, s in zip(kept, strict[i], strict=True))
+        assert stayed <= 0.25 * sum(strict[i])
+
+    from tessera.llm.secret_scan import masked, spans
+
+    assert seen[4] == {i: masked(t, spans(t)) for i, t in seen[3].items()}
