@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame
 from tessera.llm.shared import documents, map_arrow
 from tessera.llm.vocabularies import SPACE, pieces, sentencepiece_model
 
-PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Parts of a text that no piece crosses; the second if no piece joins a line end to anything.
+PART, LINE_PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Stands for a mark of the text itself while parts are cut; a private code point is escaped the same way.
 LITERAL = "\ue000"
 #: One piece weighs this much; ranks add to less within any text of under 2^32 pieces.
 PIECE = 1 << 60
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Characters of the arrays, and of a part that is searched in a batch at most.
+LETTERS, BATCHED = 200, 48
 
 
 class Transducer:
@@ -39,8 +43,10 @@ class Transducer:
             raise ValueError("a piece holds a word mark behind another character")
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.arcs = {self.pieces[i]: (PIECE + rank, i) for rank, i in enumerate(order)}
+        self.cut = PART if any("\n" in p and len(p) > 1 for p in self.arcs) else LINE_PART
         self.prefixes = {p[:k] for p in self.arcs for k in range(1, len(p) + 1)}
         self.known: dict[str, bytes] = {}
+        self.arrays = None
         self.spelled = [p.encode().replace(SPACE.encode(), b" ") for p in self.pieces]
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
@@ -83,31 +89,111 @@ class Transducer:
             j = i
         return out[::-1]
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of the whole text (uint32); empty for an empty text."""
-        return np.frombuffer(self.encode_bytes(text), np.uint32)
-
-    def encode_bytes(self, text: str) -> bytes:
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie as arrays over the LETTERS characters that most pieces use: code of each code point, first and next
+        nodes, and each node's piece and weight (pieces in the high half, rank in the low)."""
+        used = Counter(c for p in self.arcs for c in p if c in self.arcs)
+        letters = {c: i for i, (c, _) in enumerate(sorted(used.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
+        code = np.full(0x110000, LETTERS, np.uint8)
+        for c, i in letters.items():
+            code[ord(c)] = i
+        edges: dict[tuple[int, int], int] = {}
+        piece, weight = [-1], [0]
+        for p, (w, i) in self.arcs.items():
+            if all(c in letters for c in p):
+                node = 0
+                for c in p:
+                    to = edges.get((node, letters[c]))
+                    if to is None:
+                        to = edges[node, letters[c]] = len(piece)
+                        piece.append(-1)
+                        weight.append(0)
+                    node = to
+                piece[node], weight[node] = i, (1 << 40) + w - PIECE
+        follow = np.full((len(piece), LETTERS + 1), -1, np.int32)
+        for (node, c), to in edges.items():
+            follow[node, c] = to
+        return code, follow[0], follow, np.array(piece, np.int32), np.array(weight)
+
+    def learn(self, parts: set[str]) -> None:
+        """Shortest paths of new parts: those of common characters by length, all of one length at once; others one by one."""
+        new = parts.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = parts
+        if self.arrays is None:
+            self.arrays = self.table()
+        code, first, follow, piece, weight = self.arrays
+        by_length = defaultdict(list)
+        for p in new:
+            by_length[len(p) if len(p) <= BATCHED else 0].append(p)
+        for p in by_length.pop(0, []):
+            self.known[p] = np.array(self.shortest(p), "<u4").tobytes()
+        for n, own in by_length.items():
+            letter = code[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, n)
+            common = (letter < LETTERS).all(1)
+            for i in np.flatnonzero(~common).tolist():
+                self.known[own[i]] = np.array(self.shortest(own[i]), "<u4").tobytes()
+            rows = np.flatnonzero(common)
+            if not len(rows):
+                continue
+            letter = letter[rows]
+            m = len(rows)
+            cost = np.full((m, n + 1), np.iinfo(np.int64).max >> 1)
+            cost[:, 0] = 0
+            start, used = np.zeros((m, n + 1), np.int16), np.zeros((m, n + 1), np.int32)
+            for a in range(n):
+                at, node = np.arange(m), first[letter[:, a]]
+                for b in range(a + 1, n + 1):
+                    ends = piece[node] >= 0
+                    to, own_node = at[ends], node[ends]
+                    through = cost[to, a] + weight[own_node]
+                    better = through < cost[to, b]
+                    to, own_node = to[better], own_node[better]
+                    cost[to, b], start[to, b], used[to, b] = through[better], a, piece[own_node]
+                    if b < n:
+                        node = follow[node, letter[at, b]]
+                        on = node >= 0
+                        node, at = node[on], at[on]
+                        if not len(at):
+                            break
+            ids, filled = np.zeros((m, n), "<u4"), np.zeros(m, np.int64)
+            place, at = np.full(m, n), np.arange(m)
+            while len(at):  # back along the best arcs, filling from the right
+                filled[at] += 1
+                ids[at, n - filled[at]] = used[at, place[at]]
+                place[at] = start[at, place[at]]
+                at = at[place[at] > 0]
+            for i, k, row in zip(rows.tolist(), filled.tolist(), ids, strict=True):
+                self.known[own[i]] = row[n - k :].tobytes()
+
+    def parts(self, text: str) -> list[str]:
+        """The normalised text, cut before each run of marks."""
         if not text:
-            return b""
-        if LITERAL in text:  # that code point has no piece either: cut the text there
-            return b"".join(
-                b"".join(map(self._known, PART.findall((SPACE if not k else "") + s.replace(SPACE, LITERAL).replace(" ", SPACE)))) + (np.array([self.bytes[b] for b in LITERAL.encode()], np.uint32).tobytes() if more else b"")
-                for k, (s, more) in enumerate([(s, True) for s in text.split(LITERAL)[:-1]] + [(text.split(LITERAL)[-1], False)])
-            )
+            return []
         if SPACE in text:
             text = text.replace(SPACE, LITERAL)
-        return b"".join(map(self._known, PART.findall(SPACE + text.replace(" ", SPACE))))
-
-    def _known(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = np.array(self.shortest(part), np.uint32).tobytes()
-            if len(part) < 64:
-                self.known[part] = ids
-        return ids
+        return self.cut.findall(SPACE + text.replace(" ", SPACE))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each whole text; none for an empty text."""
+        cut = [[] if LITERAL in t else self.parts(t) for t in texts]
+        self.learn(set().union(*cut))
+        get = self.known.__getitem__
+        return [self.with_literals(t) if LITERAL in t else b"".join(map(get, own)) for t, own in zip(texts, cut, strict=True)]
+
+    def with_literals(self, text: str) -> bytes:
+        """A text that holds the stand-in itself, which no piece spells either: cut there and spelled in bytes."""
+        spelled = [self.bytes[b] for b in LITERAL.encode()]
+        ids: list[int] = []
+        for k, s in enumerate(text.split(LITERAL)):
+            ids += spelled * (k > 0)
+            for p in PART.findall((SPACE if not k else "") + s.replace(SPACE, LITERAL).replace(" ", SPACE)):
+                ids += self.shortest(p)
+        return np.array(ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_all([text])[0], "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded: pieces spelled out without the mark at the front."""
@@ -125,7 +211,7 @@ def encode(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFram
 
     def run(part: pa.RecordBatch) -> dict:
         t = transducer(vocabulary)
-        return {"doc_id": part.column("doc_id"), "ids": [t.encode(x).astype(np.int32) for x in part.column("text").to_pylist()]}
+        return {"doc_id": part.column("doc_id"), "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in t.encode_all(part.column("text").to_pylist())]}
 
     return map_arrow(documents(docs), run, "doc_id bigint, ids array<int>")
 
@@ -150,8 +236,8 @@ def digests(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFra
         t = transducer(vocabulary)
         low, high = min(t.bytes.values()), max(t.bytes.values())
         out: dict = {k: [] for k in ("n_tokens", "n_bytes", "ids_crc32", "round_trip")}
-        for text in part.column("text").to_pylist():
-            raw = t.encode_bytes(text)
+        texts = part.column("text").to_pylist()
+        for text, raw in zip(texts, t.encode_all(texts), strict=True):
             ids = np.frombuffer(raw, np.uint32)
             out["n_tokens"].append(len(ids))
             out["n_bytes"].append(int(((ids >= low) & (ids <= high)).sum()))
