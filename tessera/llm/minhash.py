@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     signed = save(map_arrow(docs, sign, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, labels array<bigint>, sketch binary"), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"))
+    # written, so that both sides of a join are plain exchanges, whose hot keys adaptive joins can split
+    least = save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "least")
     known = least.withColumnsRenamed({"f1": "g1", "f2": "g2"})
     reps = some.join(known, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("id", "n_shingles", "labels", "sketch").dropDuplicates(["id"])
     candidates = components(forest_candidates(save(reps.select("id", "labels", "sketch"), "reps")))
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sets = map_arrow(texts, elements, "id bigint, places array<struct<cluster:bigint,i:int,j:int>>, elements binary")
     links = verified_links(sets.select("id", F.inline("places"), "elements"), percent)
     found = components(links).withColumnRenamed("component", "component_id")
-    classes = least.join(found, "id", "left").select("f1", "f2", F.coalesce("component_id", "id").alias("component_id"))
+    classes = save(least.join(found, "id", "left").select("f1", "f2", F.coalesce("component_id", "id").alias("component_id")), "classes")
     rows = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
     rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import groups
 
 #: Elements of sets that one block holds; a task works on two blocks at most.
-BLOCK_ELEMENTS = 1_000_000
+BLOCK_ELEMENTS = 200_000
 
 
 def block_pairs(members: DataFrame, key: str, ident: str, weight: str, limit: int) -> DataFrame:
