@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, packing, quality, secret_scan, substrings
-from tessera.llm.shared import release, save, written
+from tessera.llm.shared import free, release, save, small, written
 
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8): the one of least doc_id."""
-    gone = minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = save(minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    free(spark)
+    rest = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     return rest.dropDuplicates(["doc_id", "text"]) if repeated(docs) else rest
 
 

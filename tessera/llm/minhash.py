@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, fixed, map_arrow, save
+from tessera.llm.shared import documents, fixed, free, map_arrow, save, small
 from tessera.llm.similar import BLOCK_ELEMENTS, block_pairs, verified_links
 from tessera.llm.words import U, Words, mix, words
 
@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     candidates = components(forest_candidates(save(reps.select("id", "labels", "sketch"), "reps")))
     clusters = candidates.select(F.col("id").alias("id"), F.col("component").alias("cluster")).join(some.select(F.col("doc_id").alias("id"), "n_shingles").dropDuplicates(["id"]), "id")
     dealt = save(block_pairs(clusters, "cluster", "id", "n_shingles", BLOCK_ELEMENTS).groupBy("id").agg(F.collect_list(F.struct("cluster", "i", "j")).alias("places")), "dealt")
+    free(docs.sparkSession)
 
     def elements(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(words(part.column("text"), lower=True), shingle)
         return {"id": part.column("doc_id"), "places": part.column("places"), "elements": [s.tobytes() for s in sets]}
 
-    texts = docs.join(dealt, docs["doc_id"] == dealt["id"]).select("doc_id", "text", "places")
+    texts = docs.join(small(dealt), F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
     sets = map_arrow(texts, elements, "id bigint, places array<struct<cluster:bigint,i:int,j:int>>, elements binary")
     links = verified_links(sets.select("id", F.inline("places"), "elements"), percent)
     found = components(links).withColumnRenamed("component", "component_id")

@@ -55,6 +55,24 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, getattr(df, "_tessera_path", None))
 
 
+#: Bytes of a saved table that may be sent to every task; in memory it takes several times that.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A saved table, marked for broadcast if its files are within BROADCAST_BYTES; a larger one is joined by shuffles."""
+    spark, path = df.sparkSession, df._tessera_path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def free(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps once the driver's collector finds them unreachable: ask for it
+    now, so that a step's disk is free before the next large one."""
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str | None) -> None:
     if path:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

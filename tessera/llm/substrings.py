@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, drop, fixed, groups, map_arrow, save, slices
+from tessera.llm.shared import documents, drop, fixed, free, groups, map_arrow, save, slices, small
 from tessera.llm.similar import BLOCK_ELEMENTS, block_pairs, verified_links
 from tessera.llm.words import U, Words, mix, words
 
@@ -186,7 +186,9 @@ def passages(docs: DataFrame) -> DataFrame:
     of_seed = seed.join(shared, "key").select("doc_id", F.struct("at", F.lit(0).alias("kind")).alias("place"))
     wanted = save(of_seed.unionByName(of_line).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("place").alias("places")), "wanted")
     drop(found)
-    sure = save(confirm(docs, wanted), "found")
+    free(docs.sparkSession)
+    sure = save(confirm(docs, small(wanted)), "found")
+    free(docs.sparkSession)
 
     windows = sure.where("kind = 0")
     least = save(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).where("source_doc < last").drop("last"), "windows")
@@ -231,7 +233,9 @@ def remove_passages(docs: DataFrame, text_column: str = "text", length_column: s
     """The same rows and columns with removals cut out of the texts; rows that nothing remains of go, untouched rows stay as they are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spans = merged(passages(docs)).where("NOT kept").groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    spans = save(merged(passages(docs)).where("NOT kept").groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")), "cuts")
+    free(docs.sparkSession)
+    cuts = small(spans)
     schema = docs.schema
     arrow, names = to_arrow_schema(schema), schema.names
     place = names.index(text_column)
@@ -254,7 +258,7 @@ def remove_passages(docs: DataFrame, text_column: str = "text", length_column: s
                 columns = [pa.array(new, pa.string()) if i == place else part.column(i).cast(f.type) for i, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
-    out = docs.join(spans, docs["doc_id"] == spans["__id"], "left").select(*[docs[c] for c in names], "__cuts").mapInArrow(run, schema)
+    out = docs.join(cuts, docs["doc_id"] == cuts["__id"], "left").select(*[docs[c] for c in names], "__cuts").mapInArrow(run, schema)
     if length_column in names:
         out = out.withColumn(length_column, F.char_length(text_column).cast(schema[length_column].dataType))
     return out

@@ -123,3 +123,14 @@ def test_against_brute_force(spark, tmp_path):
     from tessera.llm.secret_scan import masked, spans
 
     assert seen[4] == {i: masked(t, spans(t)) for i, t in seen[3].items()}
+
+
+def test_large_sides_are_shuffled(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast bound the joins give the same rows."""
+    from tessera.llm import shared
+
+    df = frame(spark, corpus())
+    want = corpus_pipeline.substring_dedup(spark, corpus_pipeline.minhash_near_dedup(spark, df, ""), "").collect()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    got = corpus_pipeline.substring_dedup(spark, corpus_pipeline.minhash_near_dedup(spark, df, ""), "")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) > 30
