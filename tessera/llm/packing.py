@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tessera.llm.shared import documents, slices
+from tessera.llm.shared import documents, slices, trim
 from tessera.llm.vocabularies import tokenizer
 from tessera.llm.words import words as split
 
@@ -36,7 +36,7 @@ K1, B = 1.2, 0.75
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 LATIN_END = "\u0250"
 #: Words whose ids a process keeps; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -285,5 +285,6 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
             packer.shard(held)
         packer.finish()
         yield emit()
+        trim()
 
     return documents(docs).mapInArrow(run, SCHEMA)

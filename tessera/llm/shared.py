@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -110,10 +112,18 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str, c
             for part in slices(batch, column):
                 out = f(part)
                 yield record(out, arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """At a task's end: give memory that the process has freed back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def record(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     """A batch of the schema's types from arrays or lists."""
     made = []
