@@ -142,3 +142,12 @@ def test_neighbours_share_words():
     got = index.ranked(0, free, 5)
     want = sorted(free, key=lambda i: (-bm25(docs[0], docs[i]), i))
     assert got.tolist()[:5] == want[:5]
+
+
+def test_neighbours_reach_over_a_thousand_rows(spark):
+    """A seed finds its near copy 900 rows on in the same task."""
+    rnd = random.Random(7)
+    texts = {i: " ".join("".join(rnd.choices("abcdefghijklmnoprstuvwy", k=6)) for _ in range(100)) for i in range(1000)}
+    texts[900] = texts[0] + " tail"
+    rows = packing.pack(frame(spark, texts).coalesce(1)).where("doc_id IN (0, 900)").collect()
+    assert {r.sequence_id for r in rows if r.doc_id == 0} & {r.sequence_id for r in rows if r.doc_id == 900}
