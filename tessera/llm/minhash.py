@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of distinct k-word shingles; equal sets (128-bit fingerprints) collapse to one row.
 2. Every set has 16 labels of eight minima. In 16 sorted orders of the labels, rows that share a prefix of four
-   minima form a region; a region that is too large is cut at longer common prefixes, down to neighbours. Inside a
-   region a sketch of 64 further bytes screens out rows that cannot reach the threshold.
+   minima form a region; all its rows are compared, those of a large region by pairs of blocks in many tasks. A sketch
+   of 64 bytes screens out rows that cannot reach the threshold.
 3. Components of the screened candidates get their full sets, once each, and are searched exactly (similar.py).
 
 A pair at the threshold of 0.8 shares a prefix of four in one of 16 orders with a chance of 0.9998, and the screen
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, fixed, free, map_arrow, save, small
+from tessera.llm.shared import documents, fixed, free, groups, map_arrow, save, small
 from tessera.llm.similar import BLOCK_ELEMENTS, block_pairs, verified_links
 from tessera.llm.words import U, Words, mix, words
 
 TREES, DEPTH, PREFIX, SKETCH = 16, 8, 4, 64
-#: Rows of a region that are compared by sketch in one go; larger regions are cut at longer prefixes.
-REGION = 512
+#: Rows of a region, or of a block of it, that are compared by sketch in one go; every two blocks of a larger region meet.
+REGION = 16_384
 #: Least share of equal sketch bytes: similarity 0.55 and the chance matches of bytes.
 SCREEN = int(SKETCH * (0.55 + 0.45 / 256)) + 1
 FLIPS = (fixed(21, TREES * DEPTH) >> U(32)).astype(np.uint32)
@@ -95,75 +95,96 @@ def signature_columns(sets: list[np.ndarray]) -> dict:
     return {"labels": pa.ListArray.from_arrays(offsets, flat), "sketch": [x.tobytes() for x in sketch]}
 
 
+def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which sketches pass the screen against one."""
+    same = np.ascontiguousarray(sketches == one).view(np.uint64).sum(1, dtype=np.uint64)  # eight counts side by side
+    return (same * U(0x0101010101010101)) >> U(56) >= U(SCREEN)
+
+
 def search(rows: list[tuple[int, int]], labels: np.ndarray, sketch: np.ndarray, ids: np.ndarray, out: list) -> None:
-    """Candidate links in regions (first, end) of a sorted order; each is cut at longer prefixes while too large."""
+    """Candidate links that connect in each region (first, end) all rows whose sketches pass the screen; labels, the rows' order, make no difference."""
     for a, b in rows:
-        if b - a > REGION:
-            for depth in (1, 2, 3, 4):
-                part = labels[a:b] >> 16 * (DEPTH // 2 - depth) if depth < 4 else labels[a:b]
-                cuts = [a, *(np.flatnonzero(part[1:] != part[:-1]) + 1 + a).tolist(), b]
-                if max(np.diff(cuts)) <= REGION or depth == 4:
-                    break
-            spans = [(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if y - x > 1]
-            # whole labels in common: windows of neighbours, each overlapping the next by half
-            spans = [(s, min(s + REGION, y)) for x, y in spans for s in (range(x, max(x + 1, y - REGION // 2), REGION // 2) if y - x > REGION else (x,))]
-        else:
-            spans = [(a, b)]
-        for x, y in spans:
-            left = np.arange(x, y)
-            while len(left) > 1:
-                queue, left = [left[0]], left[1:]
-                while queue and len(left):
-                    seed = queue.pop()
-                    near = (sketch[left] == sketch[seed]).sum(1) >= SCREEN
-                    found = left[near]
-                    left = left[~near]
-                    queue.extend(found.tolist())
-                    out.extend((ids[seed], ids[f]) for f in found.tolist())
+        left, own = np.arange(a, b), sketch[a:b]
+        while len(left) > 1:
+            queue, left, own = [left[0]], left[1:], own[1:]
+            while queue and len(left):
+                seed = queue.pop()
+                near = alike(own, sketch[seed])
+                if near.any():
+                    found = left[near].tolist()
+                    left, own = left[~near], own[~near]
+                    queue.extend(found)
+                    out.extend((ids[seed], ids[f]) for f in found)
+
+
+def table_links(table: pa.Table, rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Candidate links in regions of a table with id and sketch."""
+    n, raw = table.num_rows, table["sketch"].combine_chunks()
+    size = np.frombuffer(raw.buffers()[1], np.int32, n + 1, raw.offset * 4)
+    sketch = np.frombuffer(raw.buffers()[2], np.uint8)[size[0] : size[-1]].reshape(n, SKETCH)
+    ids, found = np.asarray(table["id"].combine_chunks()), []
+    search(rows, np.zeros(n, np.int64), sketch, ids, found)
+    return found
 
 
 def forest_candidates(reps: DataFrame) -> DataFrame:
-    """reps: id, labels, sketch. Links (a, b) between rows that share a region and pass the screen."""
+    """reps: id, labels, sketch. Links (a, b) that connect all rows that share a region and pass the screen.
+
+    A region that lies inside a task and has at most REGION rows is compared at once. Of all others (too large, or cut
+    by a task's end) only the label is noted; their rows are then dealt out so that every two of them meet in a task.
+    """
+    limit = REGION
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    orders = reps.select("id", tree, "labels", "sketch").select(
-        "tree", F.expr("labels[2 * tree]").alias("p"), F.expr("labels[2 * tree + 1]").alias("q"), "id", "sketch"
-    )
+    orders = reps.select("id", tree, "labels", "sketch").select("tree", F.expr("labels[2 * tree]").alias("p"), "id", "sketch")
+
+    def batch_of(kind: bool, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind)), pa.array(x), pa.array(y)], ["noted", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: pa.Table | None = None
+        key = None
+        noted: set[tuple[int, int]] = set()
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
+            part = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, part]).combine_chunks() if held is not None else part
             tree, p = np.asarray(table["tree"].combine_chunks()), np.asarray(table["p"].combine_chunks())
-            cut = int(np.flatnonzero((tree != tree[-1]) | (p != p[-1]))[-1]) + 1 if (tree[0], p[0]) != (tree[-1], p[-1]) else 0
-            yield from links(table.slice(0, cut), tree[:cut], p[:cut])
-            rest = table.slice(cut)
-            held = rest.to_batches()[0]
-        if held is not None:
-            table = pa.Table.from_batches([held])
-            yield from links(table, np.asarray(held.column("tree")), np.asarray(held.column("p")))
-
-    def links(table: pa.Table, tree: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = table.num_rows
-        if n < 2:
-            return
-        cuts = np.concatenate([[0], np.flatnonzero((tree[1:] != tree[:-1]) | (p[1:] != p[:-1])) + 1, [n]])
-        wide = np.flatnonzero(np.diff(cuts) > 1)
-        if not len(wide):
-            return
-        regions = list(zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True))
-        raw = table["sketch"].combine_chunks()
-        size = np.frombuffer(raw.buffers()[1], np.int32, n + 1, raw.offset * 4)
-        sketch = np.frombuffer(raw.buffers()[2], np.uint8)[size[0] : size[-1]].reshape(n, SKETCH)
-        found: list = []
-        search(regions, np.asarray(table["q"].combine_chunks()), sketch, np.asarray(table["id"].combine_chunks()), found)
-        if found:
-            x, y = np.array(found, np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            if key is None:
+                noted.add((int(tree[0]), int(p[0])))
+            cuts = [0, *(np.flatnonzero((tree[1:] != tree[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(tree)]
+            key = int(tree[-1]), int(p[-1])
+            regions = []
+            for x, y in zip(cuts[:-2], cuts[1:-1], strict=True):
+                own = int(tree[x]), int(p[x])
+                if y - x > limit:
+                    noted.add(own)
+                elif y - x > 1 and own not in noted:
+                    regions.append((x, y))
+            if regions:
+                yield batch_of(False, table_links(table, regions))
+            # the last region may go on; of one that is noted anyway a row will do
+            if len(tree) - cuts[-2] > limit:
+                noted.add(key)
+            held = table.slice(cuts[-2], 1) if key in noted else table.slice(cuts[-2])
+        if key is not None:
+            noted.add(key)
+            yield batch_of(True, sorted(noted))
+
+    def dealt_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ("tree", "p", "i", "j")):
+            if group.num_rows > 1:
+                yield batch_of(False, table_links(group, [(0, group.num_rows)])).select(["a", "b"])
 
     # ids break ties of the order, so that even one label's rows are dealt to many tasks
-    return orders.repartitionByRange("tree", "p", "q", "id").sortWithinPartitions("tree", "p", "q", "id").mapInArrow(run, "a bigint, b bigint")
+    found = orders.repartitionByRange("tree", "p", "id").sortWithinPartitions("tree", "p", "id").mapInArrow(run, "noted boolean, a bigint, b bigint")
+    found = save(found, "found")
+    noted = save(found.where("noted").select(F.col("a").cast("int").alias("tree"), F.col("b").alias("p")).distinct(), "noted")
+    rows = save(orders.join(small(noted), ["tree", "p"]).withColumns({"tree": F.col("tree").cast("bigint"), "rows": F.lit(1)}), "regions")
+    dealt = block_pairs(rows, ["tree", "p"], "id", "rows", limit).select(F.col("tree"), "p", F.col("i").cast("bigint"), F.col("j").cast("bigint"), "id", "sketch")
+    more = dealt.repartition("tree", "p", "i", "j").sortWithinPartitions("tree", "p", "i", "j").mapInArrow(dealt_run, "a bigint, b bigint")
+    return found.where("NOT noted").select("a", "b").unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from tessera.llm.shared import groups
 BLOCK_ELEMENTS = 200_000
 
 
-def block_pairs(members: DataFrame, key: str, ident: str, weight: str, limit: int) -> DataFrame:
+def block_pairs(members: DataFrame, key: str | list[str], ident: str, weight: str, limit: int) -> DataFrame:
     """Adds own (the row's block) and i, j: the pairs of blocks of its group that the row takes part in, so that all rows of a group meet.
 
     A group within the limit is the one block (0, 0). Only sums for each group are gathered; hot groups are dealt out.

@@ -119,3 +119,58 @@ def test_words_of_long_texts():
     w = words(pa.array(texts))
     assert np.diff(w.first).tolist() == [0, 1, 800_000, 0]
     assert [len(s) for s in shingle_sets(w, 4)] == [0, 1, 2, 0]
+
+
+def test_far_rows_of_one_region():
+    """Equal labels throughout: a pair 1,200 rows apart is still compared."""
+    import tessera.llm.minhash as m
+
+    rnd = np.random.default_rng(9)
+    n, out = 1300, []
+    sketch = rnd.integers(0, 256, (n, m.SKETCH)).astype(np.uint8)
+    sketch[1250] = sketch[50]
+    m.search([(0, n)], np.zeros(n, np.int64), sketch, np.arange(n), out)
+    assert [tuple(map(int, x)) for x in out] == [(50, 1250)]
+
+
+def test_hot_template(spark, monkeypatch):
+    """Texts of one template share regions but no links, except planted pairs at the threshold; regions are dealt in blocks."""
+    import tessera.llm.minhash as m
+
+    monkeypatch.setattr(m, "REGION", 16)
+    rnd = random.Random(11)
+    template, texts = [f"t{i}" for i in range(120)], {}
+    for i in range(240):
+        texts[i] = [*template, *(f"x{i}y{j}" for j in range(70))]
+    for i in range(0, 60, 2):  # 20 of 207 shingles changed at the end
+        texts[200 + i // 2] = texts[i][:-20] + [f"z{i}y{j}" for j in range(20)]
+    items = [(i, " ".join(w)) for i, w in texts.items()]
+    rnd.shuffle(items)
+    df = spark.createDataFrame(items, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 4).collect()} == brute(dict(items), 4, 80)
+
+
+@pytest.mark.parametrize("limit", [8, 16_384])
+def test_regions_over_task_ends(spark, monkeypatch, limit):
+    """All pairs that share a label and pass the screen end up connected, wherever tasks end."""
+    import tessera.llm.minhash as m
+
+    monkeypatch.setattr(m, "REGION", limit)
+    rnd = np.random.default_rng(2)
+    n = 300
+    label = rnd.integers(0, 4, (n, m.TREES))
+    kinds = rnd.integers(0, 256, (90, m.SKETCH)).astype(np.uint8)
+    sketch = kinds[rnd.integers(0, 90, n)]
+    rows = [(i, [int(label[i, t // 2]) for t in range(2 * m.TREES)], sketch[i].tobytes()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, labels array<bigint>, sketch binary").repartition(5)
+
+    def classes(links):
+        root = list(range(n))
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    want = [(a, b) for a, b in combinations(range(n), 2) if (label[a] == label[b]).any() and (sketch[a] == sketch[b]).sum() >= m.SCREEN]
+    got = [(r.a, r.b) for r in m.forest_candidates(df).collect()]
+    assert classes(got) == classes(want)
