@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     steps: list[DataFrame] = []
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(_rank("b")).alias("m"))
+        near = both.groupBy("a").agg(F.min(_rank("b")).alias("m"))  # written as pointers before it is joined
         pointers = save(near.select(F.col("a").alias("n"), F.least(_rank("a"), F.col("m"))["id"].alias("p")), "pointers")
         left = e.join(pointers.select(F.col("n").alias("a"), F.col("p").alias("x")), "a")
         right = left.join(pointers.select(F.col("n").alias("b"), F.col("p").alias("y")), "b")
@@ -43,5 +43,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = save(labels, "labels")
     for p in steps:
         drop(p)
-    least = labels.groupBy("root").agg(F.min("id").alias("component"))
+    # written, so that both sides are plain exchanges, whose hot keys adaptive joins can split
+    least = save(labels.groupBy("root").agg(F.min("id").alias("component")), "least")
     return labels.join(least, "root").select("id", "component")

@@ -1,15 +1,18 @@
 """Embedding near-duplicates: sign hashes by random hyperplanes in several tables, exact cosine, components.
 
-Equal vectors collapse to one row with a weight. A table hashes a vector to the signs of its products with random
-hyperplanes; vectors that share a table's code meet in a bucket and every pair there is verified by cosine in double
-precision, as matrix products. A pair is counted in the first table in which it meets, so the number of links is
-exact for the pairs found. Buckets that are too large are cut into blocks, and each pair of blocks is a task's work.
-Pairs are never written: a block gives each vector its number of links and a spanning forest.
+Equal vectors collapse to one node with a weight. A table hashes a vector to the signs of its products with random
+hyperplanes; vectors that share a table's code meet in a bucket. What travels there is a sketch, the signs of SIGNS
+further products: pairs whose sketches differ too much for the threshold are left out, the others become candidates,
+of which a bucket gives a spanning forest. Components of the candidates get their full vectors, once each; every pair
+inside one is verified by cosine in double precision, as matrix products, so the number of links is exact for the
+pairs found. A large component is cut into blocks, and each pair of blocks is a task's work. Pairs are never written:
+a block gives each vector its number of links and a spanning forest.
 
 The number of bits grows with the logarithm of the rows, which keeps buckets small; the number of tables follows from
-it such that a pair at the threshold is missed with a chance of MISS at most. Vectors that are NULL, zero, or hold
-NULL, NaN or infinite components link with nothing, and vectors of different lengths never link. A row is a vector:
-rows that repeat a vec_id are linked and answered each.
+it such that a pair at the threshold shares no bucket with a chance of MISS at most; the sketch adds SCREENED to it.
+Vectors that are NULL, zero, or hold NULL, NaN or infinite components link with nothing, and vectors of different
+lengths never link. A row is a vector: rows that repeat a vec_id are linked by their own vectors and answered each. A
+row without an id links with nothing and is kept.
 """
 
 from __future__ import annotations
@@ -23,25 +26,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import groups, save
-from tessera.llm.similar import block_pairs
+from tessera.llm.shared import groups, save, small
+from tessera.llm.similar import Pairs, block_pairs, spanning_links
+from tessera.llm.words import mix
 
-#: Chance to miss a pair at the threshold; rows of a bucket aimed at; rows of one block.
-MISS, BUCKET, BLOCK = 0.002, 256, 1024
+#: Chance that a pair at the threshold shares no bucket, and that its sketches differ too much; rows of a bucket aimed
+#: at; signs of a sketch; rows of one block of a bucket or component.
+MISS, SCREENED, BUCKET, SIGNS, BLOCK = 0.002, 0.0005, 512, 256, 2048
 
 
 def shape(rows: int, threshold: float) -> tuple[int, int]:
     """Bits a code and number of tables for so many distinct vectors."""
     same = 1 - math.acos(threshold) / math.pi
-    bits = min(16, max(4, round(math.log2(max(rows, 1) / BUCKET)))) if rows > BUCKET else 4
+    bits = min(60, max(4, round(math.log2(max(rows, 1) / BUCKET)))) if rows > BUCKET else 4
     return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - same**bits)))
 
 
+def most_apart(threshold: float) -> int:
+    """Signs in which the sketches of a pair at the threshold differ, but for a chance of SCREENED (binomial)."""
+    p, left, k = math.acos(threshold) / math.pi, 1.0, -1
+    while left > SCREENED:
+        k += 1
+        left -= math.comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k)
+    return k
+
+
+def signs(x: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Of each vector's products with n hyperplanes, which depend on the seed and the vectors' length only."""
+    planes = np.random.Generator(np.random.PCG64([x.shape[1], seed])).standard_normal((x.shape[1], n))
+    return x @ planes >= 0
+
+
 def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """One row a vector of a code for each table; the hyperplanes depend on the vectors' length only."""
-    planes = np.random.Generator(np.random.PCG64(x.shape[1])).standard_normal((x.shape[1], tables * bits))
-    signs = (x @ planes >= 0).reshape(len(x), tables, bits)
-    return (signs << np.arange(bits)).sum(2).astype(np.uint16)
+    """One row a vector of a code for each table."""
+    return (signs(x, tables * bits, 1).reshape(len(x), tables, bits) << np.arange(bits, dtype=np.int64)).sum(2)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def by_length(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of each length."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    sizes, flat, at = np.diff(offsets), np.asarray(column.flatten()).astype(np.float64), offsets[:-1] - offsets[0]
+    for d in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == d)
+        yield own, unit(flat[at[own][:, None] + np.arange(d)])
+
+
+def near(sketches: np.ndarray, apart: int) -> np.ndarray:
+    """Boolean matrix of the pairs whose sketches (bytes) differ in at most so many signs."""
+    x = np.unpackbits(sketches, axis=1).astype(np.float32) * 2 - 1
+    g = x @ x.T >= sketches.shape[1] * 8 - 2 * apart
+    np.fill_diagonal(g, False)
+    return g
 
 
 def spanning(adjacent: np.ndarray) -> tuple[list[int], list[int]]:
@@ -63,78 +103,75 @@ def spanning(adjacent: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def verified(x: np.ndarray, code: np.ndarray, weight: np.ndarray, own: np.ndarray, table: int, across: bool, threshold: float) -> tuple[np.ndarray, list[int], list[int]]:
+def verified(x: np.ndarray, weight: np.ndarray, own: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, list[int], list[int]]:
     """Weighted link counts and a spanning forest of one block (own all equal) or between two blocks."""
-    g = x @ x.T >= threshold
+    g = np.empty((len(x), len(x)), bool)
+    for a in range(0, len(x), 512):
+        np.greater_equal(x[a : a + 512] @ x.T, threshold, out=g[a : a + 512])
     np.fill_diagonal(g, False)
     if across:
         g &= own[:, None] != own[None, :]
-    rows = np.flatnonzero(g.any(1))
-    for a in range(0, len(rows), 256):  # links that an earlier table has counted
-        r = rows[a : a + 256]
-        part = g[r]
-        for t in range(table):
-            part &= code[r, t][:, None] != code[None, :, t]
-        g[r] = part
-    return g @ weight, *spanning(g)
+    counts = np.fromiter((weight[r].sum() for r in g), np.int64, len(g))
+    return counts, *spanning(g)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
-    rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
-    usable = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    keyed = rows.select("vec_id", "v", usable.alias("ok")).withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(7), "v"), "ok": F.coalesce("ok", F.lit(False))})
-    some = keyed.where("ok AND vec_id IS NOT NULL")
-    least = save(some.groupBy("f1", "f2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w")), "vectors")
-    bits, tables = shape(least.count(), threshold)
-    known = least.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "id", "w")
-    reps = some.join(known, (F.col("vec_id") == F.col("id")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("id", "w", "v").dropDuplicates(["id"])
+    given = F.col(vector_column)
+    rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), given.alias("v"))
+    ends = F.exists("v", lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
+    usable = F.coalesce(F.size("v") > 0, F.lit(False)) & ~ends & F.exists("v", lambda c: c != 0)
+    keyed = rows.withColumns({"ok": F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull(), "d": F.col("v").cast("array<double>")})
+    keyed = keyed.select("vec_id", "v", "ok", F.xxhash64("d").alias("f1"), F.xxhash64(F.lit(7), "d").alias("f2"))
+    some = keyed.where("ok").groupBy("f1", "f2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
+    nodes = save(some.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "id", "w", "v"), "vectors")
+    bits, tables = shape(nodes.count(), threshold)
+    apart = most_apart(threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column("v")
-            sizes = np.diff(np.asarray(column.offsets))
-            flat, at = np.asarray(column.flatten(), np.float64), np.concatenate([[0], np.cumsum(sizes)])
-            out: list = [None] * len(sizes)
-            vectors: list = [None] * len(sizes)
-            for d in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == d)
-                x = flat[at[own][:, None] + np.arange(d)]
-                x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                for i, c, y in zip(own.tolist(), codes(x, bits, tables), x, strict=True):
-                    out[i], vectors[i] = c, y.tobytes()
-            buckets = pa.array([(np.arange(tables, dtype=np.int64) << 32 | c.astype(np.int64)) * 100_003 + d for c, d in zip(out, sizes.tolist(), strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), pa.array(vectors, pa.binary()), pa.array([c.tobytes() for c in out], pa.binary()), buckets], ["id", "w", "x", "codes", "buckets"])
-
-    signed = save(reps.mapInArrow(hashed, "id bigint, w bigint, x binary, codes binary, buckets array<bigint>"), "signed")
-    members = signed.select("id", F.explode("buckets").alias("bucket"))
-    filled = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    pairs = block_pairs(members.join(filled, "bucket").withColumn("one", F.lit(1)), "bucket", "id", "one", BLOCK)
-    dealt = pairs.join(signed.select("id", "w", "x", "codes"), "id")
+            buckets: list = [None] * batch.num_rows
+            sketches: list = [None] * batch.num_rows
+            for own, x in by_length(batch.column("v")):
+                key = mix(mix(codes(x, bits, tables).astype(np.uint64) + np.uint64(x.shape[1] << 32)) ^ mix(np.arange(1, tables + 1, dtype=np.uint64))).view(np.int64)
+                sketch = np.packbits(signs(x, SIGNS, 2), axis=1)
+                for i, k, b in zip(own.tolist(), key, sketch, strict=True):
+                    buckets[i], sketches[i] = k, b.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "buckets", "sketch"])
+
+    def connect(table: pa.Table) -> Pairs:
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        return list(zip(*spanning(near(sketch, apart)), strict=True))
+
+    signed = save(nodes.select("node", "v").mapInArrow(hashed, "id bigint, buckets array<bigint>, sketch binary"), "signed")
+    members = signed.select(F.explode("buckets").alias("bucket"), "id", F.lit(1).alias("n"), "sketch")
+    candidates = components(spanning_links(members, ["bucket"], BLOCK, connect))
+
+    clusters = save(candidates.select(F.col("id").alias("a"), F.col("component").alias("cluster")), "clusters")
+    found = nodes.join(small(clusters), F.col("node") == F.col("a")).select("cluster", "node", "w", "v", F.lit(1).alias("one"))
+    pairs = block_pairs(save(found, "members"), "cluster", "node", "one", BLOCK)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ("bucket", "i", "j")):
+        for group in groups(batches, ("cluster", "i", "j")):
             if group.num_rows < 2:
                 continue
-            first = {c: group.column(c)[0].as_py() for c in ("bucket", "i", "j")}
-            ids, weight, own = (np.asarray(group.column(c).combine_chunks()) for c in ("id", "w", "own"))
-            x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
-            code = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint16).reshape(len(ids), -1)
-            n, a, b = verified(x, code, weight, own, int(first["bucket"] // 100_003 >> 32), first["i"] != first["j"], threshold)
-            hit = np.flatnonzero(n)
-            if len(hit):
-                nothing = np.full(len(hit), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[hit], ids[a]])), pa.array(np.concatenate([nothing, ids[b]])), pa.array(np.concatenate([n[hit], np.zeros(len(a), np.int64)]).astype(np.int64))], ["a", "b", "n"])
-
-    blocks = dealt.select("bucket", F.col("i").cast("bigint"), F.col("j").cast("bigint"), "id", "w", "x", "codes", F.col("own").cast("bigint"))
-    found = save(blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(linked, "a bigint, b bigint, n bigint"), "links")
-    classes = components(found.where("n = 0 AND a <> b"))
-    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
-    answers = least.join(counts, least["id"] == counts["a"], "left").select("f1", "f2", "id", "w", "n").join(classes.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left")
-    answers = save(answers.select("f1", "f2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "answers")
-    usable_rows = keyed.select("vec_id", "ok", F.when(F.col("ok"), F.col("f1")).alias("f1"), F.when(F.col("ok"), F.col("f2")).alias("f2"))
+            ids, weight, own = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "w", "own"))
+            for at, x in by_length(group.column("v").combine_chunks()):
+                n, a, b = verified(x, weight[at], own[at], group.column("i")[0].as_py() != group.column("j")[0].as_py(), threshold)
+                hit, mine = np.flatnonzero(n), ids[at]
+                if len(hit):
+                    nothing = np.full(len(hit), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([mine[hit], mine[a]])), pa.array(np.concatenate([nothing, mine[b]])), pa.array(np.concatenate([n[hit], np.zeros(len(a), np.int64)]).astype(np.int64))], ["a", "b", "n"])
+
+    blocks = pairs.select("cluster", F.col("i").cast("bigint"), F.col("j").cast("bigint"), "node", "w", "v", F.col("own").cast("bigint"))
+    links = save(blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(linked, "a bigint, b bigint, n bigint"), "links")
+    classes = components(links.where("n = 0"))
+    counts = save(links.groupBy("a").agg(F.sum("n").alias("n")), "counts")
+    classed = nodes.select("node", "f1", "f2", "id", "w").join(classes.withColumnRenamed("id", "c_node"), F.col("node") == F.col("c_node"), "left")
+    classed = save(classed.select("node", "f1", "f2", "id", "w", F.coalesce("component", "node").alias("component")), "classed")
+    least = save(classed.groupBy("component").agg(F.min("id").alias("component_id")), "least")
+    answers = classed.join(least, "component").join(counts, F.col("node") == F.col("a"), "left")
+    answers = save(answers.select("f1", "f2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id"), "answers")
+    usable_rows = keyed.select("vec_id", F.when(F.col("ok"), F.col("f1")).alias("f1"), F.when(F.col("ok"), F.col("f2")).alias("f2"))
     out = usable_rows.join(answers, ["f1", "f2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, fixed, free, groups, map_arrow, save, small
-from tessera.llm.similar import BLOCK_ELEMENTS, block_pairs, verified_links
+from tessera.llm.shared import documents, fixed, map_arrow, save, small
+from tessera.llm.similar import BLOCK_ELEMENTS, spanning_links, verified_links
 from tessera.llm.words import U, Words, mix, words
 
 TREES, DEPTH, PREFIX, SKETCH = 16, 8, 4, 64
@@ -131,7 +131,7 @@ def forest_candidates(reps: DataFrame) -> DataFrame:
     """reps: id, labels, sketch. Links (a, b) that connect all rows that share a region and pass the screen.
 
     A region that lies inside a task and has at most REGION rows is compared at once. Of all others (too large, or cut
-    by a task's end) only the label is noted; their rows are then dealt out so that every two of them meet in a task.
+    by a task's end) only the label is noted; their rows are then dealt out in blocks (spanning_links).
     """
     limit = REGION
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
@@ -172,53 +172,93 @@ def forest_candidates(reps: DataFrame) -> DataFrame:
             noted.add(key)
             yield batch_of(True, sorted(noted))
 
-    def dealt_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ("tree", "p", "i", "j")):
-            if group.num_rows > 1:
-                yield batch_of(False, table_links(group, [(0, group.num_rows)])).select(["a", "b"])
+    def connect(table: pa.Table) -> list[tuple[int, int]]:
+        n = table.num_rows
+        return table_links(table.select(["sketch"]).append_column("id", pa.array(np.arange(n))), [(0, n)])
 
     # ids break ties of the order, so that even one label's rows are dealt to many tasks
     found = orders.repartitionByRange("tree", "p", "id").sortWithinPartitions("tree", "p", "id").mapInArrow(run, "noted boolean, a bigint, b bigint")
     found = save(found, "found")
     noted = save(found.where("noted").select(F.col("a").cast("int").alias("tree"), F.col("b").alias("p")).distinct(), "noted")
-    rows = save(orders.join(small(noted), ["tree", "p"]).withColumns({"tree": F.col("tree").cast("bigint"), "rows": F.lit(1)}), "regions")
-    dealt = block_pairs(rows, ["tree", "p"], "id", "rows", limit).select(F.col("tree"), "p", F.col("i").cast("bigint"), F.col("j").cast("bigint"), "id", "sketch")
-    more = dealt.repartition("tree", "p", "i", "j").sortWithinPartitions("tree", "p", "i", "j").mapInArrow(dealt_run, "a bigint, b bigint")
-    return found.where("NOT noted").select("a", "b").unionByName(more)
+    rows = save(orders.join(small(noted), ["tree", "p"]).select(F.col("tree").cast("bigint").alias("tree"), "p", "id", F.lit(1).alias("n"), "sketch"), "regions")
+    return found.where("NOT noted").select("a", "b").unionByName(spanning_links(rows, ["tree", "p"], limit, connect))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row: components of similarity percent / 100 or more of lower-cased k-word shingles.
+def content(text_column: str = "text"):
+    """A checksum of a row's text: with its id it tells rows apart that repeat an id."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Returns (rows, classes), both written.
 
-    component_id is the least doc_id reachable. Rows that repeat a doc_id are answered each; an empty table gives none.
+    rows: doc_id, content, n_shingles and the set's fingerprint f1, f2 of each row. classes: for each fingerprint of a
+    set that is not empty the number of its component, and the component's least row (least_id, least_content).
+    The nodes of the graph are the sets themselves under numbers of their own, so rows that repeat an id stay apart.
     """
-    docs = documents(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+    docs = docs.withColumn("content", content())
 
     def sign(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(words(part.column("text"), lower=True), shingle)
         one, two = fingerprints(sets)
-        return {"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "f1": one, "f2": two} | signature_columns(sets)
+        return {"doc_id": part.column("doc_id"), "content": part.column("content"), "n_shingles": [len(s) for s in sets], "f1": one, "f2": two} | signature_columns(sets)
 
-    signed = save(map_arrow(docs, sign, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, labels array<bigint>, sketch binary"), "signed")
+    signed = save(map_arrow(docs, sign, "doc_id bigint, content bigint, n_shingles bigint, f1 bigint, f2 bigint, labels array<bigint>, sketch binary"), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # written, so that both sides of a join are plain exchanges, whose hot keys adaptive joins can split
-    least = save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "least")
-    known = least.withColumnsRenamed({"f1": "g1", "f2": "g2"})
-    reps = some.join(known, (F.col("doc_id") == F.col("id")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("id", "n_shingles", "labels", "sketch").dropDuplicates(["id"])
-    candidates = components(forest_candidates(save(reps.select("id", "labels", "sketch"), "reps")))
-    clusters = candidates.select(F.col("id").alias("id"), F.col("component").alias("cluster")).join(some.select(F.col("doc_id").alias("id"), "n_shingles").dropDuplicates(["id"]), "id")
-    dealt = save(block_pairs(clusters, "cluster", "id", "n_shingles", BLOCK_ELEMENTS).groupBy("id").agg(F.collect_list(F.struct("cluster", "i", "j")).alias("places")), "dealt")
-    free(docs.sparkSession)
+    sets = some.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "content")).alias("m"))
+    sets = save(sets.select("f1", "f2", F.col("m.doc_id").alias("id"), F.col("m.content").alias("id_content"), F.monotonically_increasing_id().alias("node")), "sets")
+    known = sets.withColumnsRenamed({"f1": "g1", "f2": "g2"})
+    of_least = (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
+    reps = some.join(known, of_least).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("id", "id_content", "n_shingles", "labels", "sketch")])
+    reps = save(reps, "reps")
+    candidates = components(forest_candidates(reps.select(F.col("node").alias("id"), "labels", "sketch")))
+    clusters = candidates.select(F.col("id").alias("node"), F.col("component").alias("cluster")).join(reps.drop("labels", "sketch"), "node")
+    wanted = save(clusters, "wanted")
 
     def elements(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(words(part.column("text"), lower=True), shingle)
-        return {"id": part.column("doc_id"), "places": part.column("places"), "elements": [s.tobytes() for s in sets]}
-
-    texts = docs.join(small(dealt), F.col("doc_id") == F.col("id")).select("doc_id", "text", "places")
-    sets = map_arrow(texts, elements, "id bigint, places array<struct<cluster:bigint,i:int,j:int>>, elements binary")
-    links = verified_links(sets.select("id", F.inline("places"), "elements"), percent)
-    found = components(links).withColumnRenamed("component", "component_id")
-    classes = save(least.join(found, "id", "left").select("f1", "f2", F.coalesce("component_id", "id").alias("component_id")), "classes")
-    rows = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        return {"cluster": part.column("cluster"), "id": part.column("node"), "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets]}
+
+    texts = docs.join(small(wanted), (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content"))).select("node", "cluster", "text")
+    if not wanted.where("copies > 1").isEmpty():  # rows that repeat id and text
+        texts = texts.dropDuplicates(["node"])
+    rows = map_arrow(texts, elements, "cluster bigint, id bigint, n bigint, elements binary")
+    found = components(verified_links(save(rows, "elements"), percent, BLOCK_ELEMENTS))
+    nodes = sets.join(found.withColumnRenamed("id", "linked"), F.col("node") == F.col("linked"), "left")
+    nodes = save(nodes.select("f1", "f2", "id", "id_content", F.coalesce("component", "node").alias("component")), "nodes")
+    least = save(nodes.groupBy("component").agg(F.min(F.struct("id", "id_content")).alias("m")).select("component", F.col("m.id").alias("least_id"), F.col("m.id_content").alias("least_content")), "least")
+    classes = save(nodes.select("f1", "f2", "component").join(least, "component"), "classes")
+    return signed.select("doc_id", "content", "n_shingles", "f1", "f2"), classes
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row: components of similarity percent / 100 or more of lower-cased k-word shingles.
+
+    component_id is the least doc_id reachable. Rows that repeat a doc_id are linked by their own texts and answered
+    each. A row without an id, or without words, links with nothing: its own id is its component, and it is kept. An
+    empty table gives none.
+    """
+    rows, classes = classified(documents(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))), shingle, percent)
+    rows = rows.join(classes, ["f1", "f2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows and columns of docs without those that near-duplicate one of less (doc_id, checksum of the text).
+
+    Of rows that repeat id and text one stays. Rows without an id or without words all stay.
+    """
+    rows, classes = classified(documents(docs), shingle, percent)
+    some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    least = (F.col("doc_id") == F.col("least_id")) & (F.col("content") == F.col("least_content"))
+    gone = some.join(classes, ["f1", "f2"]).where(~least).select("doc_id", "content").distinct()
+    again = some.groupBy("doc_id", "content").count().where("count > 1").select("doc_id", "content")
+    gone, again = (save(x.select(F.col("doc_id").alias("__gone"), F.col("content").alias("__content")), n) for x, n in ((gone, "gone"), (again, "again")))
+    same = (F.col("doc_id").cast("bigint") == F.col("__gone")) & (content() == F.col("__content"))
+    rest = docs.join(small(gone), same, "left_anti")
+    if again.isEmpty():
+        return rest
+    once = rest.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(small(again), same, "left_anti").unionByName(once)
