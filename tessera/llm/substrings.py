@@ -1,15 +1,19 @@
 """Repeated passages across documents, by MinHash banding of paragraphs and exact confirmation.
 
-Two kinds of paragraph are compared. Lines of at least PASSAGE words are near-duplicates at Jaccard 0.8 over their
-5-word shingles: band keys from minima bring them together, candidate clusters are searched exactly on full sets
-(similar.py). Passages inside other text have no line of their own. For them content picks the paragraphs: among
-every SPREAD neighbouring 5-word shingles the one of least hash starts a seed of SEED words, so any PASSAGE words in a
-row hold a seed, the same one in every copy. Seeds met in two documents are confirmed by the words around them: windows
-of WINDOW words that hold the seed must be equal, which any common run of PASSAGE words brings about.
-
-Of each passage the occurrence of least (doc_id, place) stays, with all its repeats in that document; all others are
-removals. Documents that share passages form components. Repeats within one document alone are none of this operator's
-business. NULL and empty texts, and those of fewer words, hold no passage.
+Two kinds of paragraph are banded. Lines of at least PASSAGE words, and, as a passage inside other text has no line of
+its own, windows that content itself picks: among every SPREAD neighbouring shingles the one of least hash starts a
+window of CUT words, so any PASSAGE words in a row hold such a window, the same one in every copy. Each paragraph's set
+of 5-word shingles gives band keys from minima, and paragraphs that share a key are compared.
+
+Lines are confirmed by the exact Jaccard similarity of their sets (similar.py), PERCENT or more. Windows are confirmed
+by the text around them at edit distance 0: each brings the hashes of all runs of PASSAGE words whose window it is, and
+a run that another document holds too is a repeat. Overlapping runs are merged, so a passage has its exact, longest
+ends, and nothing that repeats over fewer words is named.
+
+Of each run the occurrences in the least document stay; all others are removals. Documents that share passages form
+components. A document is a row's doc_id with its text: rows that repeat both are one document, rows that repeat only
+the id are different ones. Repeats within one document alone are none of this operator's business. Rows without an id
+are neither compared nor cut. NULL and empty texts, and those of fewer words, hold no passage.
 """
 
 from __future__ import annotations
@@ -22,46 +26,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, drop, fixed, free, groups, map_arrow, save, slices, small
-from tessera.llm.similar import BLOCK_ELEMENTS, block_pairs, verified_links
+from tessera.llm.minhash import content
+from tessera.llm.shared import documents, drop, fixed, groups, map_arrow, save, slices, small
+from tessera.llm.similar import BLOCK_ELEMENTS, verified_links
 from tessera.llm.words import U, Words, mix, words
 
-#: Words of the shortest passage, of a seed, of the windows that confirm it, and of a shingle; similarity of lines.
-PASSAGE, SEED, WINDOW, SHINGLE, PERCENT = 50, 16, 45, 5, 80
-#: Seeds are the least of so many neighbours: PASSAGE words in a row hold at least one.
-SPREAD = PASSAGE - SEED + 1
-#: Distances from a confirming window's start to its seed; between two of them lie as many words as a passage is longer.
-SHIFTS = (*range(0, WINDOW - SEED, PASSAGE - WINDOW + 1), WINDOW - SEED)
-#: Rows of a band, and bands by the recall wanted at the threshold: 1 - (1 - 0.8 ** 3) ** 6 = 0.986.
-ROWS, RECALL = 3, 0.98
+#: Words of the shortest passage, of a window, and of a shingle; similarity of lines.
+PASSAGE, CUT, SHINGLE, PERCENT = 50, 16, 5, 80
+#: A window's first shingle is the least of so many neighbours: PASSAGE words in a row hold at least one window.
+SPREAD = PASSAGE - CUT + 1
+#: Rows of a band of lines, and bands by the recall wanted at the threshold: 1 - (1 - 0.8 ** 3) ** 10 = 0.9992.
+ROWS, RECALL = 3, 0.999
 BANDS = next(b for b in range(1, 99) if 1 - (1 - (PERCENT / 100) ** ROWS) ** b >= RECALL)
 FLIPS, FACTORS = fixed(31, ROWS * BANDS), fixed(32, ROWS * BANDS)
+#: A window has one band: copies of a passage hold equal windows, which share it.
+CUT_ROWS = 4
+#: Windows of one key that one task takes; more are matched run by run through exchanges.
+KEY_ROWS = 16_384
 
 
-def seeds(w: Words) -> np.ndarray:
-    """Word indices where seeds start: least shingle of SPREAD neighbours (the last of equals), if the text goes on for SEED words."""
-    inside = w.inside(SEED)
-    order, _ = w.windows(SHINGLE)
+def windows_of_runs(w: Words, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all runs of PASSAGE words, and of the window of each: its least shingle (order: their hashes), the last of equals. Both rise."""
     n = len(order)
-    if n < PASSAGE:
-        return np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(w)), np.diff(w.first))
-    # least of each run of SPREAD places that lies in one text with room for its seeds
-    value = np.where(inside, order | U(1), ~U(0))
-    runs = n - SPREAD + 1
+    runs = n - PASSAGE + 1
     if runs <= 0:
-        return np.zeros(0, np.int64)
-    low, width, at = value, 1, np.arange(n)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, width, at = order, 1, np.arange(n)
     while width * 2 <= SPREAD:  # doubling: least of 2, 4, 8 ... neighbours, with its place
         a, b = low[:-width], low[width:]
         right = b <= a
         low, at, width = np.where(right, b, a), np.where(right, at[width:], at[:-width]), width * 2
     rest = SPREAD - width
     a, b = low[: len(low) - rest], low[rest:]
-    right = b <= a
-    at = np.where(right, at[rest:], at[: len(at) - rest])[:runs]
-    whole = (doc[:runs] == doc[SPREAD - 1 : SPREAD - 1 + runs]) & inside[SPREAD - 1 : SPREAD - 1 + runs]
-    return np.unique(at[whole])
+    at = np.where(b <= a, at[rest:], at[: len(at) - rest])[:runs]
+    whole = np.flatnonzero(w.inside(PASSAGE)[:runs])
+    return whole, at[whole]
 
 
 def line_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,163 +101,302 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-UNITS = "doc_id bigint, at int, key bigint, bands array<bigint>"
+def cut_bands(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The band key of the window at each given word."""
+    out = np.zeros(len(at), np.uint64)
+    for a in range(0, len(at), 16384):
+        x = shingles[at[a : a + 16384, None] + np.arange(CUT - SHINGLE + 1)]
+        key = np.full(len(x), U(CUT_ROWS))
+        for f, c in zip(FLIPS[:CUT_ROWS], FACTORS[:CUT_ROWS], strict=True):
+            key = mix(key ^ ((x ^ f) * c).min(1))
+        out[a : a + 16384] = key
+    return out.view(np.int64)
+
+
+UNITS = "doc_id bigint, content bigint, at int, key bigint, bands array<bigint>"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Seeds (bands NULL) and long lines of each text: place (word), 64-bit name, band keys."""
+    """Windows (key: their band; bands NULL) and long lines (key: a 64-bit name of the set, and its bands) of each text, with their first word."""
 
     def run(part: pa.RecordBatch) -> dict:
         w = words(part.column("text"))
         shingles, _ = w.windows(SHINGLE)
-        ids = np.asarray(part.column("doc_id"))
-        s = seeds(w)
+        s = np.unique(windows_of_runs(w, shingles)[1])
         doc = np.searchsorted(w.first, s, "right") - 1
         text, a, b = line_words(w)
         sets = [line_set(shingles, x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        keys = np.concatenate([w.windows_at(s, SEED).view(np.int64), names(sets)])
         lists = [None] * len(s) + list(bands(sets))
-        return {"doc_id": np.concatenate([ids[doc], ids[text]]), "at": np.concatenate([s - w.first[doc], a - w.first[text]]).astype(np.int32), "key": keys, "bands": pa.array(lists, pa.list_(pa.int64()))}
+        owner = np.concatenate([doc, text])
+        return {
+            "doc_id": np.asarray(part.column("doc_id"))[owner], "content": np.asarray(part.column("content"))[owner],
+            "at": np.concatenate([s - w.first[doc], a - w.first[text]]).astype(np.int32),
+            "key": np.concatenate([cut_bands(shingles, s), names(sets)]), "bands": pa.array(lists, pa.list_(pa.int64())),
+        }
 
-    return map_arrow(docs.where("doc_id IS NOT NULL"), run, UNITS)
+    return map_arrow(docs, run, UNITS)
 
 
-FOUND = "kind int, h1 bigint, h2 bigint, doc_id bigint, at int, start bigint, end bigint, elements binary"
+WINDOW, LINE, LINE_SET = 0, 1, 2
+FOUND = "kind int, key bigint, large boolean, doc_id bigint, content bigint, at int, stop int, hashes array<bigint>"
 
 
 def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: id, places (array of (at, kind)): kind 0 a seed, 1 a line, 2 a line whose set is asked for. Gives windows around seeds and lines, with spans in code points."""
+    """wanted: id, id_content, places (array of at, kind, key, large). For windows the first of the runs whose window
+    they are, and the hashes of these runs, which start at one word after the other; for lines their end and, for
+    LINE_SET, their set."""
 
     def run(part: pa.RecordBatch) -> dict:
         w = words(part.column("text"))
-        lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-        ids = np.asarray(part.column("doc_id"))
         places = part.column("places")
         text = np.repeat(np.arange(len(w)), np.diff(np.asarray(places.offsets)))
         inner = places.flatten()
-        at, kind = (np.asarray(inner.field(c)) for c in ("at", "kind"))
-        at = at + w.first[text]
-
-        seed = kind == 0
-        a = (at[seed][:, None] - np.array(SHIFTS)).ravel()
-        own = np.repeat(text[seed], len(SHIFTS))
-        good = (a >= w.first[own]) & (a + WINDOW <= w.first[own + 1])
-        a, first = np.unique(a[good], return_index=True)
-        own = own[good][first]
-        h1, h2 = w.windows_at(a, WINDOW).view(np.int64), w.windows_at(a, WINDOW, 14).view(np.int64)
-        b = a + WINDOW
-
-        ends = {int(x): int(y) for _, x, y in zip(*line_words(w), strict=True)} if not seed.all() else {}
-        rows = [(i, x, ends[x], k == 2) for i, x, k in zip(text[~seed].tolist(), at[~seed].tolist(), kind[~seed].tolist(), strict=True) if x in ends]
-        shingles = w.windows(SHINGLE)[0] if rows else None
-        sets = [line_set(shingles, x, y) for _, x, y, _ in rows]
-        own = np.concatenate([own, np.array([r[0] for r in rows], np.int64)])
-        a, b = np.concatenate([a, np.array([r[1] for r in rows], np.int64)]), np.concatenate([b, np.array([r[2] for r in rows], np.int64)])
-        base = lead[w.at[own]]
+        place, kind, key = (np.asarray(inner.field(c)) for c in ("at", "kind", "key"))
+        at = place + w.first[text]
+        shingles = w.windows(SHINGLE)[0]
+        starts, window = windows_of_runs(w, shingles)
+        hashes = w.rolling(PASSAGE)[starts].view(np.int64)
+        inside = kind == WINDOW
+        a = np.where(inside, np.searchsorted(window, at), 0)
+        sizes = np.where(inside, np.searchsorted(window, at, "right") - a, 0)
+        lists: list = [hashes[x : x + n] for x, n in zip(a.tolist(), sizes.tolist(), strict=True)]
+        begin, stop = place.copy(), place.copy()
+        begin[inside] = starts[a[inside]] - w.first[text[inside]]
+        if not inside.all():
+            ends = {int(x): int(y) for _, x, y in zip(*line_words(w), strict=True)}
+            for i in np.flatnonzero(~inside).tolist():
+                x = int(at[i])
+                stop[i] = ends[x] - x + place[i]
+                lists[i] = line_set(shingles, x, ends[x]).view(np.int64) if kind[i] == LINE_SET else None
         return {
-            "kind": np.repeat(np.array([0, 1], np.int32), [len(h1), len(rows)]), "h1": np.concatenate([h1, names(sets)]), "h2": np.concatenate([h2, np.zeros(len(rows), np.int64)]),
-            "doc_id": ids[own], "at": (a - w.first[own]).astype(np.int32), "start": lead[w.starts[a]] - base, "end": lead[w.ends[b - 1]] - base,
-            "elements": pa.array([None] * len(h1) + [s.tobytes() if r[3] else None for r, s in zip(rows, sets, strict=True)], pa.binary()),
+            "kind": kind, "key": key, "large": inner.field("large"), "doc_id": np.asarray(part.column("doc_id"))[text], "content": np.asarray(part.column("content"))[text],
+            "at": begin, "stop": stop, "hashes": pa.array(lists, pa.list_(pa.int64())),
         }
 
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "text", "places")
+    texts = docs.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content"))).select("doc_id", "content", "text", "places")
     return map_arrow(texts, run, FOUND)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, kept, source_doc) of each occurrence of a passage that two documents share; spans in code points, not yet merged.
+SPANS = "doc_id bigint, content bigint, start int, end int, source_doc bigint, source_content bigint"
+
+
+def shared_runs(docs: np.ndarray, contents: np.ndarray, at: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """The columns of SPANS: for each window and each document that is the first to hold some of its runs, the words
+    that these runs cover, if two documents hold them. All windows that hold a run of these must be given."""
+    n = len(docs)
+    order = np.lexsort((contents, docs))
+    new = np.ones(n, bool)
+    new[1:] = (docs[order][1:] != docs[order][:-1]) | (contents[order][1:] != contents[order][:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    of_rank = order[new]
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    place = np.arange(len(hashes)) - offsets[:-1][row]
+    by = np.argsort(hashes)
+    first = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])) if len(by) else by
+    if not len(first):
+        return [np.zeros(0, np.int64)] * 6
+    ranks = rank[row[by]]
+    least, most = np.minimum.reduceat(ranks, first), np.maximum.reduceat(ranks, first)
+    sizes = np.diff(np.concatenate([first, [len(by)]]))
+    source = np.empty(len(by), np.int64)
+    source[by] = np.repeat(np.where(least < most, least, -1), sizes)
+    hit = source >= 0
+    pair, place = row[hit] * (n + 1) + source[hit], place[hit]
+    by = np.argsort(pair, kind="stable")
+    pair, place = pair[by], place[by]
+    if not len(pair):
+        return [np.zeros(0, np.int64)] * 6
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    last = np.concatenate([first[1:], [len(pair)]]) - 1
+    own, of = pair[first] // (n + 1), of_rank[pair[first] % (n + 1)]
+    return [docs[own], contents[own], at[own] + place[first], at[own] + place[last] + PASSAGE, docs[of], contents[of]]
+
+
+def of_windows(sure: DataFrame) -> DataFrame:
+    """SPANS of confirmed windows."""
+    windows = sure.where(F.col("kind") == WINDOW)
+
+    def columns(table: pa.Table) -> pa.RecordBatch:
+        lists = table.column("hashes").combine_chunks()
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        doc, text, at = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "content", "at"))
+        made = shared_runs(doc, text, at.astype(np.int64), offsets - offsets[0], np.asarray(lists.flatten()))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in SPANS.split(", ")])
 
-    source_doc: the document whose occurrence stays.
-    """
-    docs = documents(docs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.asarray(batch.column("key"))
+            if not len(keys):
+                continue
+            a = int(np.searchsorted(keys, keys[-1]))  # keys rise; the last one may go on
+            if held and (a or held[-1].column("key")[0].as_py() != keys[0]):
+                yield columns(pa.Table.from_batches([*held, batch.slice(0, a)]))
+                held = []
+            elif a:
+                yield columns(pa.Table.from_batches([batch.slice(0, a)]))
+            held.append(batch.slice(a))
+        if held:
+            yield columns(pa.Table.from_batches(held))
+
+    few = windows.where("NOT large").select("key", "doc_id", "content", "at", "hashes")
+    spans = few.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
+    many = windows.where("large")
+    if many.isEmpty():
+        return spans
+    runs = many.select("key", "doc_id", "content", "at", F.posexplode("hashes").alias("place", "hash"))
+    ends = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "content")).alias("source"), F.max(F.struct("doc_id", "content")).alias("last"))
+    ends = save(ends.where("source < last").select("hash", "source"), "runs")
+    covered = runs.join(ends, "hash").groupBy("key", "doc_id", "content", "at", "source").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    return spans.unionByName(covered.select("doc_id", "content", F.expr("at + low").alias("start"), F.expr(f"at + high + {PASSAGE}").alias("end"), F.col("source.doc_id").alias("source_doc"), F.col("source.content").alias("source_content")))
+
+
+def of_lines(sure: DataFrame, clusters: DataFrame) -> DataFrame:
+    """SPANS of lines whose sets are similar to one of another document."""
+    line = sure.where(F.col("kind") != WINDOW)
+    sets = line.where("hashes IS NOT NULL").dropDuplicates(["key"]).select(F.col("key").alias("id"), "hashes")
+    sized = save(sets.join(clusters.withColumnRenamed("component", "cluster"), "id"), "sets")
+
+    def packed(part: pa.RecordBatch) -> dict:
+        lists = part.column("hashes")
+        at, flat = np.asarray(lists.offsets), np.asarray(lists.flatten())
+        return {"cluster": part.column("cluster"), "id": part.column("id"), "n": np.diff(at), "elements": [flat[a - at[0] : b - at[0]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = packed(b)
+            yield pa.RecordBatch.from_arrays([c["cluster"], c["id"], pa.array(c["n"], pa.int64()), pa.array(c["elements"], pa.binary())], ["cluster", "id", "n", "elements"])
+
+    rows = save(sized.select("cluster", "id", "hashes").mapInArrow(run, "cluster bigint, id bigint, n bigint, elements binary"), "elements")
+    near = components(verified_links(rows, PERCENT, BLOCK_ELEMENTS))
+    classes = line.select(F.col("key").alias("id"), "doc_id", "content", F.col("at").alias("start"), F.col("stop").alias("end")).join(near, "id")
+    ends = classes.groupBy("component").agg(F.min(F.struct("doc_id", "content")).alias("source"), F.max(F.struct("doc_id", "content")).alias("last"))
+    ends = save(ends.where("source < last").select("component", "source"), "sources")
+    return classes.join(ends, "component").select("doc_id", "content", "start", "end", F.col("source.doc_id").alias("source_doc"), F.col("source.content").alias("source_content"))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, content, text. SPANS (in words, not yet merged) of each occurrence of what two documents share, and kept: it is the source itself."""
     found = save(units(docs), "units")
-    seed = found.where("bands IS NULL")
-    shared = save(seed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "seeds")
+    window = found.where("bands IS NULL")
+    row = F.xxhash64("doc_id", "content")
+    shared = window.groupBy("key").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = save(shared.where("a < b").select("key", (F.col("n") > KEY_ROWS).alias("large")), "shared")
     lines = found.where("bands IS NOT NULL")
     banded = lines.select("key", F.explode("bands").alias("band"))
     together = save(banded.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("band", "lead"), "bands")
     links = banded.join(together, "band").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
-    clusters = components(links)
+    clusters = save(components(links), "clusters")
     # occurrences of lines in clusters; each content's set is asked for once
-    of_line = lines.select("key", "doc_id", "at").join(clusters.select(F.col("id").alias("key")), "key")
-    first = of_line.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("m"))
-    of_line = of_line.join(save(first, "first"), "key").select("doc_id", F.struct("at", F.when(F.struct("doc_id", "at") == F.col("m"), 2).otherwise(1).alias("kind")).alias("place"))
-    of_seed = seed.join(shared, "key").select("doc_id", F.struct("at", F.lit(0).alias("kind")).alias("place"))
-    wanted = save(of_seed.unionByName(of_line).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("place").alias("places")), "wanted")
+    of_line = lines.select("key", "doc_id", "content", "at").join(clusters.select(F.col("id").alias("key")), "key")
+    first = save(of_line.groupBy("key").agg(F.min(F.struct("doc_id", "content", "at")).alias("m")), "first")
+    asked = F.when(F.struct("doc_id", "content", "at") == F.col("m"), LINE_SET).otherwise(LINE)
+    of_line = of_line.join(first, "key").select("doc_id", "content", F.struct("at", asked.alias("kind"), "key", F.lit(False).alias("large")).alias("place"))
+    of_window = window.join(shared, "key").select("doc_id", "content", F.struct("at", F.lit(WINDOW).alias("kind"), "key", "large").alias("place"))
+    wanted = of_window.unionByName(of_line).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("id_content")).agg(F.collect_set("place").alias("places"))
+    wanted = save(wanted, "wanted")
     drop(found)
-    free(docs.sparkSession)
     sure = save(confirm(docs, small(wanted)), "found")
-    free(docs.sparkSession)
+    return of_windows(sure).unionByName(of_lines(sure, clusters)).withColumn("kept", (F.col("doc_id") == F.col("source_doc")) & (F.col("content") == F.col("source_content")))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, content and text of the rows that have an id."""
+    return documents(docs).where("doc_id IS NOT NULL").withColumn("content", content())
 
-    windows = sure.where("kind = 0")
-    least = save(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).where("source_doc < last").drop("last"), "windows")
-    exact = windows.select("h1", "h2", "doc_id", "start", "end").join(least, ["h1", "h2"]).select("doc_id", "start", "end", "source_doc")
 
-    line = sure.where("kind = 1")
-    sets = line.where("elements IS NOT NULL").select(F.col("h1").alias("id"), "elements").dropDuplicates(["id"])
-    sized = sets.select("id", "elements", F.expr("octet_length(elements) DIV 8").alias("n")).join(clusters.withColumnRenamed("component", "cluster"), "id")
-    near = components(verified_links(block_pairs(sized, "cluster", "id", "n", BLOCK_ELEMENTS), PERCENT))
-    classes = line.select(F.col("h1").alias("id"), "doc_id", "start", "end").join(near, "id")
-    source = save(classes.groupBy("component").agg(F.min("doc_id").alias("source_doc"), F.max("doc_id").alias("last")).where("source_doc < last").drop("last"), "sources")
-    alike = classes.join(source, "component").select("doc_id", "start", "end", "source_doc")
-    return exact.unionByName(alike).withColumn("kept", F.col("doc_id") == F.col("source_doc"))
+MERGED = "doc_id bigint, content bigint, kept boolean, start int, end int, source_doc bigint"
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """(doc_id, start, end, kept, source_doc): overlapping spans of a document merged, removals and kept ones apart; source_doc is the least."""
+    """MERGED: overlapping or touching spans of a document merged, removals and kept ones apart; source_doc is the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ("doc_id", "k")):
+        for group in groups(batches, ("doc_id", "content", "k")):
             start, end, source = (np.asarray(group.column(c).combine_chunks()) for c in ("start", "end", "source_doc"))
             reach = np.maximum.accumulate(end)
-            cut = np.concatenate([[True], start[1:] > reach[:-1] + 1])
-            at = np.flatnonzero(cut)
-            n = len(at)
-            doc, k = group.column("doc_id")[0].as_py(), group.column("k")[0].as_py()
-            columns = [pa.array([doc] * n, pa.int64()), pa.array(start[at]), pa.array(np.maximum.reduceat(end, at)), pa.array([bool(k)] * n), pa.array(np.minimum.reduceat(source, at))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "kept", "source_doc"])
+            at = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+            doc, text, k = (group.column(c)[0].as_py() for c in ("doc_id", "content", "k"))
+            columns = [pa.array([doc] * len(at), pa.int64()), pa.array([text] * len(at), pa.int64()), pa.array([bool(k)] * len(at)), pa.array(start[at]), pa.array(np.maximum.reduceat(end, at)), pa.array(np.minimum.reduceat(source, at))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MERGED.split(", ")])
 
-    rows = spans.select("doc_id", F.col("kept").cast("bigint").alias("k"), "start", "end", "source_doc").distinct()
-    return rows.repartition("doc_id", "k").sortWithinPartitions("doc_id", "k", "start", "end").mapInArrow(run, "doc_id bigint, start bigint, end bigint, kept boolean, source_doc bigint")
+    rows = spans.select("doc_id", "content", F.col("kept").cast("bigint").alias("k"), "start", "end", "source_doc")
+    return rows.repartition("doc_id", "content", "k").sortWithinPartitions("doc_id", "content", "k", "start", "end").mapInArrow(run, MERGED)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, kept, source_doc, component_id) of each merged occurrence; component_id is the least doc_id that shares passages, directly or through others."""
-    spans = save(merged(passages(docs)), "spans")
-    classes = components(spans.where("NOT kept").select(F.col("doc_id").alias("a"), F.col("source_doc").alias("b")))
-    return spans.join(classes.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    """(doc_id, start, end, kept, source_doc, component_id) of each merged occurrence, once for each document.
+
+    Spans are code points of the whole text, end exclusive. component_id is the least doc_id that shares passages,
+    directly or through others.
+    """
+    docs = identified(docs)
+    found = save(passages(docs), "passages")
+    row, source = F.xxhash64("doc_id", "content"), F.xxhash64("source_doc", "source_content")
+    classes = save(components(found.where("NOT kept").select(row.alias("a"), source.alias("b"))), "classes")
+    spans = merged(found).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("id_content"))
+    spans = save(spans.agg(F.collect_list(F.struct("start", "end", "kept", "source_doc")).alias("spans")), "spans")
+    owners = spans.select(F.xxhash64("id", "id_content").alias("node"), F.col("id").alias("doc"))
+    least = save(owners.join(classes, F.col("node") == F.col("id")).groupBy("component").agg(F.min("doc").alias("component_id")), "least")
+    labels = classes.join(least, "component").select(F.col("id").alias("node"), "component_id")
+    marked = spans.withColumn("of", F.xxhash64("id", "id_content")).join(labels, F.col("of") == F.col("node"), "left")
+    marked = save(marked.select("id", "id_content", "spans", F.coalesce("component_id", "id").alias("component_id")), "marked")
+    texts = docs.join(small(marked), (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content")))
+
+    def run(part: pa.RecordBatch) -> dict:
+        w = words(part.column("text"))
+        lead = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        lists = part.column("spans")
+        text = np.repeat(np.arange(len(w)), np.diff(np.asarray(lists.offsets)))
+        inner = lists.flatten()
+        a, b = (np.asarray(inner.field(c)) + w.first[text] for c in ("start", "end"))
+        base = lead[w.at[text]]
+        return {
+            "doc_id": np.asarray(part.column("doc_id"))[text], "start": lead[w.starts[a]] - base, "end": lead[w.ends[b - 1]] - base,
+            "kept": inner.field("kept"), "source_doc": inner.field("source_doc"), "component_id": np.asarray(part.column("component_id"))[text],
+        }
+
+    out = map_arrow(texts.select("doc_id", "content", "text", "spans", "component_id"), run, "doc_id bigint, start bigint, end bigint, kept boolean, source_doc bigint, component_id bigint")
+    return out.distinct()  # rows that repeat id and text are one document
 
 
 def remove_passages(docs: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with removals cut out of the texts; rows that nothing remains of go, untouched rows stay as they are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spans = save(merged(passages(docs)).where("NOT kept").groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")), "cuts")
-    free(docs.sparkSession)
-    cuts = small(spans)
+    spans = merged(passages(identified(docs)).where("NOT kept")).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("id_content"))
+    spans = save(spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")), "cuts")
     schema = docs.schema
     arrow, names = to_arrow_schema(schema), schema.names
     place = names.index(text_column)
 
+    def shortened(texts: pa.Array, cuts: pa.ListArray) -> tuple[pa.Array, list[bool]]:
+        some = np.flatnonzero(np.asarray(cuts.is_valid()))
+        new, stays = texts.to_pylist(), [True] * len(texts)
+        w = words(texts.take(pa.array(some)))
+        for i, k in enumerate(some.tolist()):
+            at, kept, first, base = 0, [], int(w.first[i]), int(w.at[i])
+            raw = w.data[base : w.at[i + 1]].tobytes()
+            for c in cuts[k].as_py():
+                kept.append(raw[at : int(w.starts[first + c["start"]]) - base])
+                at = int(w.ends[first + c["end"] - 1]) - base
+            new[k] = b"".join([*kept, raw[at:]]).decode()
+            stays[k] = bool(new[k].strip())
+        return pa.array(new, pa.string()), stays
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_column):
-                new, stays = [], []
-                for text, cuts in zip(part.column(place).to_pylist(), part.column("__cuts").to_pylist(), strict=True):
-                    if cuts and text:
-                        at, kept = 0, []
-                        for c in cuts:
-                            kept.append(text[at : c["start"]])
-                            at = c["end"]
-                        text = "".join([*kept, text[at:]])
-                        stays.append(bool(text.strip()))
-                    else:
-                        stays.append(True)
-                    new.append(text)
-                columns = [pa.array(new, pa.string()) if i == place else part.column(i).cast(f.type) for i, f in enumerate(arrow)]
+            rows = batch.column("row")
+            flat = pa.RecordBatch.from_arrays([*rows.flatten(), batch.column("cuts")], names=[*(str(i) for i in range(len(names))), "cuts"])
+            for part in slices(flat, str(place)):
+                new, stays = shortened(part.column(place), part.column("cuts"))
+                columns = [new if i == place else part.column(i).cast(f.type) for i, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
-    out = docs.join(cuts, docs["doc_id"] == cuts["__id"], "left").select(*[docs[c] for c in names], "__cuts").mapInArrow(run, schema)
+    # the rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("doc"), content(text_column).alias("content"))
+    out = rows.join(small(spans), (F.col("doc") == F.col("id")) & (F.col("content") == F.col("id_content")), "left").select("row", "cuts").mapInArrow(run, schema)
     if length_column in names:
         out = out.withColumn(length_column, F.char_length(text_column).cast(schema[length_column].dataType))
     return out

@@ -75,12 +75,15 @@ class Words:
         room = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes))
         return room >= k
 
-    def windows_at(self, at: np.ndarray, k: int, seed: int = 13) -> np.ndarray:
-        """Hash of the k words from each given word on (all inside a text); another seed, an independent hash."""
-        factors, out = fixed(seed, k), np.zeros(len(at), np.uint64)
-        for a in range(0, len(at), 16384):
-            m = self.hashes[at[a : a + 16384, None] + np.arange(k)]
-            out[a : a + 16384] = mix((mix(m ^ factors) * factors).sum(1, dtype=np.uint64))
+    def rolling(self, k: int) -> np.ndarray:
+        """Hash of the k words from each word on, whatever k, from prefix sums; 0 where they do not all lie in its text."""
+        n = len(self.hashes)
+        out = np.zeros(n, np.uint64)
+        if n >= k:
+            up, down = powers(n + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hashes ^ VALUES[0]) * up[:n], dtype=np.uint64)])
+            out[: n - k + 1] = mix((sums[k:] - sums[:-k]) * down[: n - k + 1]) | U(1)
+            out[~self.inside(k)] = 0
         return out
 
 
