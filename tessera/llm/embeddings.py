@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import groups, save, small
+from tessera.llm.shared import groups, kept_tables, save, small
 from tessera.llm.similar import Pairs, block_pairs, spanning_links
 from tessera.llm.words import mix
 
@@ -123,7 +123,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str =
     usable = F.coalesce(F.size("v") > 0, F.lit(False)) & ~ends & F.exists("v", lambda c: c != 0)
     keyed = rows.withColumns({"ok": F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull(), "d": F.col("v").cast("array<double>")})
     keyed = keyed.select("vec_id", "v", "ok", F.xxhash64("d").alias("f1"), F.xxhash64(F.lit(7), "d").alias("f2"))
-    some = keyed.where("ok").groupBy("f1", "f2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
+    with kept_tables(vectors.sparkSession) as tables:
+        answers = answered(keyed.where("ok"), threshold)
+        tables.keep(answers)
+    usable_rows = keyed.select("vec_id", F.when(F.col("ok"), F.col("f1")).alias("f1"), F.when(F.col("ok"), F.col("f2")).alias("f2"))
+    out = usable_rows.join(answers, ["f1", "f2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def answered(keyed: DataFrame, threshold: float) -> DataFrame:
+    """keyed: vec_id, v, and its fingerprint f1, f2. n_links and component_id of each fingerprint, written."""
+    some = keyed.groupBy("f1", "f2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v"))
     nodes = save(some.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "id", "w", "v"), "vectors")
     bits, tables = shape(nodes.count(), threshold)
     apart = most_apart(threshold)
@@ -171,7 +181,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str =
     classed = save(classed.select("node", "f1", "f2", "id", "w", F.coalesce("component", "node").alias("component")), "classed")
     least = save(classed.groupBy("component").agg(F.min("id").alias("component_id")), "least")
     answers = classed.join(least, "component").join(counts, F.col("node") == F.col("a"), "left")
-    answers = save(answers.select("f1", "f2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id"), "answers")
-    usable_rows = keyed.select("vec_id", F.when(F.col("ok"), F.col("f1")).alias("f1"), F.when(F.col("ok"), F.col("f2")).alias("f2"))
-    out = usable_rows.join(answers, ["f1", "f2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return save(answers.select("f1", "f2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id"), "answers")

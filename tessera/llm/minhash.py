@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, fixed, map_arrow, save, small
+from tessera.llm.shared import documents, fixed, kept_tables, map_arrow, save, small
 from tessera.llm.similar import BLOCK_ELEMENTS, spanning_links, verified_links
 from tessera.llm.words import U, Words, mix, words
 
@@ -196,8 +196,13 @@ def classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     set that is not empty the number of its component, and the component's least row (least_id, least_content).
     The nodes of the graph are the sets themselves under numbers of their own, so rows that repeat an id stay apart.
     """
-    docs = docs.withColumn("content", content())
+    with kept_tables(docs.sparkSession) as tables:
+        rows, classes = _classified(docs.withColumn("content", content()), shingle, percent)
+        tables.keep(rows, classes)
+    return rows.select("doc_id", "content", "n_shingles", "f1", "f2"), classes
 
+
+def _classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     def sign(part: pa.RecordBatch) -> dict:
         sets = shingle_sets(words(part.column("text"), lower=True), shingle)
         one, two = fingerprints(sets)
@@ -229,7 +234,7 @@ def classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
     nodes = save(nodes.select("f1", "f2", "id", "id_content", F.coalesce("component", "node").alias("component")), "nodes")
     least = save(nodes.groupBy("component").agg(F.min(F.struct("id", "id_content")).alias("m")).select("component", F.col("m.id").alias("least_id"), F.col("m.id_content").alias("least_content")), "least")
     classes = save(nodes.select("f1", "f2", "component").join(least, "component"), "classes")
-    return signed.select("doc_id", "content", "n_shingles", "f1", "f2"), classes
+    return signed, classes
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ documents is judged mostly by the prior. A host is rejected if its shrunk rate i
 to its documents. A document is kept if it fails no rule and its host stands.
 
 Words are runs outside \\x20 and \\x09-\\x0D. NULL or empty texts have no words and fail; a NULL host is a host of its
-own. Rows that repeat a doc_id are judged each.
+own. Rows that repeat a doc_id, or have none, are judged each. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tessera.llm.shared import documents, map_arrow, save
+from tessera.llm.shared import documents, map_arrow, save, slices
 from tessera.llm.words import SPACE, Words, mix, words
 
 WINDOW = 5
@@ -126,26 +127,24 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows that are kept, with their own columns. Texts are measured again rather than moved."""
+    """The rows that are kept, with their own columns, whatever their names. Texts are measured again rather than moved."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType
 
     rates = host_rates(measured(docs, host).select("host", rule_failed().alias("failed")))
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(MEASURES).fields, StructField("host", docs.schema[host].dataType)])
     names = [f.name for f in StructType.fromDDL(MEASURES).fields]
-    clash = set(docs.columns) & {*names, "host", "rate"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are names of measures")
-    arrow, width = to_arrow_schema(schema), len(docs.columns)
+    schema = StructType([StructField("row", docs.schema), StructField("host", StringType()), *StructType.fromDDL(MEASURES).fields])
+    arrow, place = to_arrow_schema(schema), docs.columns.index("text")
 
     def run(batches):
-        from tessera.llm.shared import slices
-
         for batch in batches:
-            for part in slices(batch):
+            whole = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), batch.column("row").flatten()[place]], names=["row", "host", "text"])
+            for part in slices(whole):
                 m = measure(part.column("text"))
-                columns = [*part.columns, *[pa.array(m[c], pa.int64()) for c in names], part.column(host)]
+                columns = [part.column("row"), part.column("host"), *[pa.array(m[c], pa.int64()) for c in names]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    rows = with_hosts(docs.mapInArrow(run, schema).where(~rule_failed()), rates)
-    return rows.where(F.col("rate") <= HOST_LIMIT).select(*[F.col(c) for c in docs.columns[:width]])
+    # the rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{host}`").cast("string").alias("host"))
+    rows = with_hosts(rows.mapInArrow(run, schema).where(~rule_failed()), rates)
+    return rows.where(F.col("rate") <= HOST_LIMIT).select("row.*")

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +28,60 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts the lineage, and survives a lost executor."""
-    path = f"{shared_folder(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
+#: Spark then deletes a step's shuffle files at its end, not once the driver's collector happens to find them unreachable.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_written: list[str] = []
+class Tables:
+    """The tables that one run of an operator or stage writes on its way: deleted at its end, but for those it keeps."""
 
+    def __init__(self, spark: SparkSession, outer: Tables | None):
+        self.spark, self.outer, self.paths = spark, outer, []
 
-def written() -> int:
-    """How many tables this driver has saved so far."""
-    return len(_written)
+    def keep(self, *tables: DataFrame) -> None:
+        """These outlast the run; a run around this one, if there is any, owns them from here on."""
+        for t in tables:
+            self.paths.remove(t._tessera_path)
+            if self.outer is not None:
+                self.outer.paths.append(t._tessera_path)
 
+    def drop_later(self, df: DataFrame) -> None:
+        """Delete a table that save() wrote before this run, too."""
+        if path := getattr(df, "_tessera_path", None):
+            self.paths.append(path)
 
-def release(spark: SparkSession, since: int, *read: DataFrame, keep: DataFrame) -> None:
-    """Delete the tables saved since then, and those read, but for the one to keep."""
-    paths = {*_written[since:], *(getattr(df, "_tessera_path", None) for df in read)} - {keep._tessera_path, None}
-    for path in sorted(paths):
-        remove(spark, path)
+
+_run: ContextVar[Tables | None] = ContextVar("run", default=None)
+
+
+@contextlib.contextmanager
+def kept_tables(spark: SparkSession) -> Iterator[Tables]:
+    """A run: what save() writes inside is deleted at its end unless it is kept. Runs of several threads don't meet."""
+    tables = Tables(spark, _run.get())
+    token = _run.set(tables)
+    try:
+        yield tables
+    finally:
+        _run.reset(token)
+        for path in tables.paths:
+            remove(spark, path)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back: cuts the lineage, and survives a lost executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if (run := _run.get()) is not None:
+        run.paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
 
 
 def drop(df: DataFrame) -> None:
@@ -69,12 +101,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def free(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished steps once the driver's collector finds them unreachable: ask for it
-    now, so that a step's disk is free before the next large one."""
-    spark._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str | None) -> None:
     if path:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.minhash import content
-from tessera.llm.shared import documents, drop, fixed, groups, map_arrow, save, slices, small
+from tessera.llm.shared import documents, drop, fixed, groups, kept_tables, map_arrow, save, slices, small
 from tessera.llm.similar import BLOCK_ELEMENTS, verified_links
 from tessera.llm.words import U, Words, mix, words
 
@@ -325,13 +325,8 @@ def merged(spans: DataFrame) -> DataFrame:
     return rows.repartition("doc_id", "content", "k").sortWithinPartitions("doc_id", "content", "k", "start", "end").mapInArrow(run, MERGED)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, kept, source_doc, component_id) of each merged occurrence, once for each document.
-
-    Spans are code points of the whole text, end exclusive. component_id is the least doc_id that shares passages,
-    directly or through others.
-    """
-    docs = identified(docs)
+def labelled(docs: DataFrame) -> DataFrame:
+    """id, id_content, spans (in words, merged) and component_id of each document that shares passages, written."""
     found = save(passages(docs), "passages")
     row, source = F.xxhash64("doc_id", "content"), F.xxhash64("source_doc", "source_content")
     classes = save(components(found.where("NOT kept").select(row.alias("a"), source.alias("b"))), "classes")
@@ -341,7 +336,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     least = save(owners.join(classes, F.col("node") == F.col("id")).groupBy("component").agg(F.min("doc").alias("component_id")), "least")
     labels = classes.join(least, "component").select(F.col("id").alias("node"), "component_id")
     marked = spans.withColumn("of", F.xxhash64("id", "id_content")).join(labels, F.col("of") == F.col("node"), "left")
-    marked = save(marked.select("id", "id_content", "spans", F.coalesce("component_id", "id").alias("component_id")), "marked")
+    return save(marked.select("id", "id_content", "spans", F.coalesce("component_id", "id").alias("component_id")), "marked")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, kept, source_doc, component_id) of each merged occurrence, once for each document.
+
+    Spans are code points of the whole text, end exclusive. component_id is the least doc_id that shares passages,
+    directly or through others.
+    """
+    docs = identified(docs)
+    with kept_tables(docs.sparkSession) as tables:
+        marked = labelled(docs)
+        tables.keep(marked)
     texts = docs.join(small(marked), (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content")))
 
     def run(part: pa.RecordBatch) -> dict:
@@ -365,8 +372,10 @@ def remove_passages(docs: DataFrame, text_column: str = "text", length_column: s
     """The same rows and columns with removals cut out of the texts; rows that nothing remains of go, untouched rows stay as they are."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spans = merged(passages(identified(docs)).where("NOT kept")).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("id_content"))
-    spans = save(spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")), "cuts")
+    with kept_tables(docs.sparkSession) as tables:
+        spans = merged(passages(identified(docs)).where("NOT kept")).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("id_content"))
+        spans = save(spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")), "cuts")
+        tables.keep(spans)
     schema = docs.schema
     arrow, names = to_arrow_schema(schema), schema.names
     place = names.index(text_column)

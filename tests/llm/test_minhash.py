@@ -174,3 +174,78 @@ def test_regions_over_task_ends(spark, monkeypatch, limit):
     want = [(a, b) for a, b in combinations(range(n), 2) if (label[a] == label[b]).any() and (sketch[a] == sketch[b]).sum() >= m.SCREEN]
     got = [(r.a, r.b) for r in m.forest_candidates(df).collect()]
     assert classes(got) == classes(want)
+
+
+def test_repeated_ids(spark):
+    """One id on several texts, near copies of others and unrelated ones: links and components by row, as by all pairs."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    base = [[word() for _ in range(80)] for _ in range(5)]
+    rows = []
+    for k in range(120):
+        w = list(base[k % 5]) if k % 4 else [word() for _ in range(30)]
+        for _ in range(rnd.randrange(3)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((rnd.randrange(12), " ".join(w)))
+    rows += rows[:5] + [(3, None), (3, ""), (None, rows[0][1]), (None, None)]
+    by_row = brute({n: t for n, (i, t) in enumerate(rows) if i is not None}, 4, 80)
+    least = {}
+    for n, (_, c) in by_row.items():
+        least[c] = min(least.get(c, 99), rows[n][0])
+    want = [(rows[n][0], size, least[c] if size else rows[n][0]) for n, (size, c) in by_row.items()]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted(want)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+
+
+def test_one_of_each_group_stays(spark):
+    import tessera.llm.minhash as m
+
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    x, y, z = text(), text(), text()
+    near = x.replace(x.split(" ")[30], "edited")
+    rows = [(1, x), (2, x), (2, y), (2, y), (3, near), (4, z), (4, z + " more"), (5, None), (5, None), (None, x), (6, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, content int")
+    got = m.keep_one(df)
+    assert got.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    four = {t for i, t in left if i == 4}
+    assert len(four) == 1 and four < {z, z + " more"}
+    assert [r for r in left if r[0] != 4] == sorted([(1, x), (2, y), (5, None), (5, None), (None, x), (6, "")], key=str)
+
+
+def test_large_clusters(spark, monkeypatch):
+    """Clusters cut in blocks that share leaders: one dense component, chains, and pairs whose rows lie in different blocks."""
+    rnd = np.random.default_rng(6)
+    make = lambda n: np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
+    sets = {}
+    for c in range(3):
+        core = make(40)
+        for _ in range(60):
+            sets[len(sets)] = c, np.unique(np.concatenate([rnd.choice(core, 38, replace=False), make(1)]))
+        for _ in range(15):
+            x = make(30)
+            sets[len(sets)] = c, x
+            sets[len(sets)] = c, np.unique(np.concatenate([x[2:], make(1)]))
+        x = make(30)
+        for _ in range(12):
+            sets[len(sets)] = c, x
+            x = np.unique(np.concatenate([x[2:], make(2)]))
+        sets[len(sets)] = c, np.zeros(0, np.uint64)
+    rows = [(c, i, len(x), x.tobytes()) for i, (c, x) in sets.items()]
+    df = spark.createDataFrame(rows, "cluster bigint, id bigint, n bigint, elements binary")
+    from tessera.llm.components import components
+
+    root = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        (c, x), (d, y) = sets[a], sets[b]
+        both = len(np.intersect1d(x, y))
+        if c == d and both and 100 * both >= 80 * (len(x) + len(y) - both):
+            p, q = root[a], root[b]
+            root = [min(p, q) if r in (p, q) else r for r in root]
+    for limit in (300, 1000, 10**6):
+        got = dict.fromkeys(range(len(sets)))
+        got.update({r.id: r.component for r in components(similar.verified_links(df, 80, limit)).collect()})
+        assert [got[i] if got[i] is not None else i for i in range(len(sets))] == root

@@ -63,5 +63,12 @@ def test_many_hosts_are_joined(spark, monkeypatch):
 def test_empty(spark):
     df = frame(spark, {})
     assert quality.judge(df).count() == 0 and quality.keep_good(df).count() == 0
-    with pytest.raises(ValueError):
-        quality.keep_good(df.withColumnRenamed("lang", "rate"))
+
+
+@pytest.mark.parametrize("name", ["host", "rate", "n_words", "n_lines", "row", "__host"])
+def test_columns_named_like_measures(spark, name):
+    rnd = random.Random(1)
+    texts = {1: "bad", None: None} | {i: " ".join(prose(rnd, 50)) for i in range(2, 9)}
+    df = frame(spark, texts).withColumnRenamed("lang", name)
+    out = quality.keep_good(df)
+    assert out.columns == df.columns and sorted(out.collect()) == sorted(df.where("doc_id > 1").collect())

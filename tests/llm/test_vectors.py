@@ -53,3 +53,34 @@ def test_recall_planned():
     for rows in (1, 1000, 10**6, 10**10):
         bits, tables = embeddings.shape(rows, 0.9)
         assert (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables <= embeddings.MISS
+
+
+def test_repeated_ids(spark):
+    """One id on several vectors: links and components by row, as by all pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((5, 16))
+    rows = []
+    for k in range(120):
+        v = base[k % 5] + rng.standard_normal(16) * 0.05 if k % 3 else rng.standard_normal(16)
+        rows.append((int(rng.integers(0, 12)), v.astype(np.float32).tolist()))
+    rows += [rows[0], (3, rows[1][1]), (4, None)]
+    numbered = brute([(n, v) for n, (_, v) in enumerate(rows)])
+    least = {}
+    for n, _, c in numbered:
+        least[c] = min(least.get(c, 99), rows[n][0])
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "vec_id bigint, embedding array<float>")
+    got = embeddings.near_duplicates(df.repartition(3)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None) == sorted((rows[n][0], k, least[c]) for n, k, c in numbered)
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+
+
+def test_screen():
+    """Sketches let pairs at the threshold pass."""
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((2, 4000, 64))
+    a = embeddings.unit(a)
+    b = embeddings.unit(b - (a * b).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, 0.9 * a + math.sqrt(1 - 0.81) * b])
+    s = embeddings.signs(x, embeddings.SIGNS, 2)
+    apart = (s[:4000] != s[4000:]).sum(1)
+    assert (apart > embeddings.most_apart(0.9)).mean() < 0.004
