@@ -7,10 +7,9 @@ a lost executor costs one stage at most. All stages but the last return the colu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import minhash, packing, quality, secret_scan, substrings
-from tessera.llm.shared import free, release, save, small, written
+from tessera.llm.shared import kept_tables, save
 
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -23,15 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8): the one of least doc_id."""
-    gone = save(minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    free(spark)
-    rest = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return rest.dropDuplicates(["doc_id", "text"]) if repeated(docs) else rest
-
-
-def repeated(docs: DataFrame) -> bool:
-    """Whether a doc_id repeats."""
-    return not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    return minhash.keep_one(docs, shingle=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +53,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before = written()
-        made = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark, before, docs, keep=made)  # what the stage wrote on its way, and what it read
+        with kept_tables(spark) as tables:
+            made = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            tables.keep(made)
+            tables.drop_later(docs)  # what the stage read goes with what it wrote on its way
         docs = made
     return docs
