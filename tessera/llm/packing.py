@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 1_500_000
 K1, B = 1.2, 0.75
 #: ASCII signs that the tokenizer's pattern takes as one run behind a letter (the apostrophe begins endings).
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Below it lie Latin letters, each with its accents in one character, so that lower case and normal form don't interact.
 LATIN_END = "\u0250"
 #: Words whose ids a process keeps; beyond it the memory is emptied, results stay the same.
 REMEMBERED = 1_000_000
@@ -64,9 +65,10 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.one.encode_batch_fast(words, add_special_tokens=False)]
 
     def each(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of many words by few calls. Lower-cased Latin words of letters alone pass the normaliser unchanged and end
-        at an end-of-word piece each, so they share texts and go to the same model without normaliser and pattern."""
-        plain = [w for w in words if w.isalpha() and max(w) < LATIN_END and is_normalized("NFC", w)]
+        """Ids of many words by few calls. Latin words of letters alone that are lower case as they stand pass the
+        normaliser unchanged and end at an end-of-word piece each, so they share texts and go to the same model without
+        normaliser and pattern."""
+        plain = [w for w in words if w.isalpha() and max(w) < LATIN_END and w == w.lower() and is_normalized("NFC", w)]
         found: dict[str, bytes] = {}
         texts = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
         for own, e in zip(texts, self.bare.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
@@ -86,9 +88,9 @@ class WordIds:
         parts = []
         for w in words:
             c = w.rstrip(SIGNS)
-            if not c or not c[-1].isalpha():
+            if not c or not c[-1].isalpha() or not normalize("NFC", c[-1].lower()).isalpha():  # some letters become one with a mark
                 c = w
-            parts.append((c.lower() if c.isascii() or "Σ" not in c and "İ" not in c else c, w[len(c) :]))
+            parts.append((c.lower() if c.isascii() or max(c) < LATIN_END and "İ" not in c else c, w[len(c) :]))
         known = self.each(list({c for c, _ in parts}.union(t for _, t in parts if t)))
         raws = [known[c] + known[t] if t else known[c] for c, t in parts]
         sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 4

@@ -1,4 +1,4 @@
-"""Public vocabularies, opened once in each process. A name is looked up in the folder below, a path is taken as it is."""
+"""Public vocabularies, opened once in each process. A name is looked up in the installed package of vocabularies, a path is taken as it is."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import base64
 import os
 from functools import cache
 
-#: Where the public vocabulary files lie; every executor has them.
-FOLDER = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+#: Another folder of vocabulary files than the installed package's; every executor has them.
+FOLDER = os.environ.get("TESSERA_TOKENIZERS")
 SPACE = "▁"
 
 
 def path(name: str) -> str:
-    return name if os.path.isabs(name) else os.path.join(FOLDER, name)
+    if os.path.isabs(name):
+        return name
+    if FOLDER:
+        return os.path.join(FOLDER, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 @cache

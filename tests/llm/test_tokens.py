@@ -1,6 +1,7 @@
 """Token counts, transducer and packing against plain versions of themselves."""
 
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -91,6 +92,29 @@ def test_word_ids():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in want]
 
 
+def same_ids(ids, texts):
+    want = tokenizer(WORDS).encode_batch(texts, add_special_tokens=False)
+    for t, g, e in zip(texts, ids.ids(pa.array(texts, pa.string())), want, strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == e.ids, ascii(t)
+
+
+IDS = packing.WordIds(WORDS)
+
+
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aAİIıßẞΣσ'’.!?-( \n\u0301\u0307\u0345\u0958ὼῺ")), max_size=20), max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_word_ids_of_any_text(texts):
+    same_ids(IDS, texts)
+
+
+def test_word_ids_of_all_characters():
+    """Each assigned character alone, before signs, inside words and doubled."""
+    known = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cs", "Co", "Cn")]
+    texts = [f"{c} {c}. a{c}! {c}{c}-b x.{c}( {c}b" for c in known]
+    for a in range(0, len(texts), 20_000):
+        same_ids(IDS, texts[a : a + 20_000])
+
+
 @pytest.mark.parametrize("docs", [3, 512])
 def test_packing(spark, docs, monkeypatch):
     rnd = random.Random(4)
