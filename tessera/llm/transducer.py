@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding as a weighted transducer and its shortest path.
 
-Compiled once: the normaliser (mark at the front, space to mark), the pieces as a trie, and byte fallback for
-characters that no piece spells. A text is composed with it into a lattice whose arcs are pieces; the encoding is the
-shortest path in the tropical semiring over pairs (pieces, sum of ranks), compared in this order, so the fewest pieces
-win and among those the most frequent. A tie is won by the longer last piece. No piece holds a mark behind another
-character, so the lattice falls apart before each run of marks and equal parts share one search. A mark that the text
-itself holds goes through byte fallback: decoding gives every text back exactly.
+Compiled: the normaliser (mark at the front, space to mark), the pieces as arcs, and byte fallback for characters that
+no piece spells. The model's scores rank its merges, they are no probabilities that could be added up along a path. So
+a state is the last piece, and an arc weighs nothing if its piece may follow that one, which is if the model's merges
+leave the two as they are when their letters stand alone, and infinitely much if not; these weights are made when they
+are first met. The merges of a whole part leave pieces of which all neighbours may follow each other, and no others do
+so: the shortest path in the tropical semiring over the composition is the one of weight 0. It is searched with the
+longest arcs first. A place that a path of weight 0 reaches has one such path only, so no place is left twice.
+
+No piece holds a mark behind another character, and marks join each other last of all; so a text falls apart before
+each run of marks, and equal parts share one search. A mark that the text itself holds goes through byte fallback:
+decoding gives every text back exactly. Texts without such a mark get the model's own ids.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
@@ -26,11 +31,8 @@ from tessera.llm.vocabularies import SPACE, pieces, sentencepiece_model
 PART, LINE_PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Stands for a mark of the text itself while parts are cut; a private code point is escaped the same way.
 LITERAL = "\ue000"
-#: One piece weighs this much; ranks add to less within any text of under 2^32 pieces.
-PIECE = 1 << 60
+#: Parts and weights that a process keeps; beyond it the memory is emptied, results stay the same.
 REMEMBERED = 400_000
-#: Characters of the arrays, and of a part that is searched in a batch at most.
-LETTERS, BATCHED = 200, 48
 
 
 class Transducer:
@@ -39,14 +41,17 @@ class Transducer:
         self.pieces = pieces(vocabulary)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         plain = [i for i in range(len(self.pieces)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        if any(SPACE in self.pieces[i].lstrip(SPACE) for i in plain):
+        self.arcs = {self.pieces[i]: i for i in plain}
+        self.score = {self.pieces[i]: model.get_score(i) for i in plain}
+        inner = [p for p in self.arcs if SPACE in p[1:]]
+        if any(p.strip(SPACE) for p in inner) or SPACE not in self.arcs:
             raise ValueError("a piece holds a word mark behind another character")
-        order = sorted(plain, key=lambda i: (-model.get_score(i), i))
-        self.arcs = {self.pieces[i]: (PIECE + rank, i) for rank, i in enumerate(order)}
+        if inner and max(self.score[p] for p in inner) >= min((x for p, x in self.score.items() if len(p) > 1 and p not in inner), default=0):
+            raise ValueError("marks join each other before they join words")
         self.cut = PART if any("\n" in p and len(p) > 1 for p in self.arcs) else LINE_PART
         self.prefixes = {p[:k] for p in self.arcs for k in range(1, len(p) + 1)}
         self.known: dict[str, bytes] = {}
-        self.arrays = None
+        self.weights: dict[tuple[str, str], bool] = {}
         self.spelled = [p.encode().replace(SPACE.encode(), b" ") for p in self.pieces]
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
@@ -54,118 +59,98 @@ class Transducer:
             if model.is_control(i):
                 self.spelled[i] = b""
 
-    def fallback(self, c: str) -> list[int]:
-        return [self.bytes[b] for b in (SPACE if c == LITERAL else c).encode()]
-
-    def shortest(self, part: str) -> list[int]:
-        """Ids of the shortest path through the lattice of one part."""
-        n = len(part)
-        cost: list[int | None] = [0] + [None] * n
-        back: list[tuple[int, int] | None] = [None] * (n + 1)  # where the best arc into a place starts, and its piece
-        arcs, prefixes = self.arcs, self.prefixes
-        for i in range(n):
-            here = cost[i]
-            if here is None:
-                continue
-            if part[i] == LITERAL or part[i] not in arcs:
-                new = here + PIECE * len(self.fallback(part[i]))
-                if cost[i + 1] is None or new < cost[i + 1]:
-                    cost[i + 1], back[i + 1] = new, (i, -1)
-                if part[i] == LITERAL:
-                    continue
-            j = i + 1
-            while j <= n and (s := part[i:j]) in prefixes:
-                if s in arcs:
-                    weight, piece = arcs[s]
-                    new = here + weight
-                    if cost[j] is None or new < cost[j]:
-                        cost[j], back[j] = new, (i, piece)
-                j += 1
+    def merged(self, letters: str) -> list[str]:
+        """What the model's merges leave of the letters: again and again the neighbours that make the piece of highest score, the first of equals."""
+        n = len(letters)
+        parts: list[str] = list(letters)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        score = self.score
+        queue = [(-score[x], i, x) for i in range(n - 1) if (x := parts[i] + parts[i + 1]) in score]
+        heapq.heapify(queue)
+        while queue:
+            _, i, x = heapq.heappop(queue)
+            j = after[i]
+            if not parts[i] or j >= n or parts[i] + parts[j] != x:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = x, ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (y := x + parts[k]) in score:
+                    heapq.heappush(queue, (-score[y], i, y))
+            if (h := before[i]) >= 0 and (y := parts[h] + x) in score:
+                heapq.heappush(queue, (-score[y], h, y))
+        return [p for p in parts if p]
+
+    def follows(self, last: str, piece: str) -> bool:
+        """Whether the arc's weight is 0: the merges leave the two pieces (or at the start the one) as they are."""
+        found = self.weights.get((last, piece))
+        if found is None:
+            if len(self.weights) > REMEMBERED:
+                self.weights.clear()
+            found = self.weights[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
+        return found
+
+    def outgoing(self, part: str, i: int) -> list[str]:
+        """Arcs from a place, the longest last: pieces, and a character that no piece spells by itself."""
+        out = [] if part[i] in self.arcs else [part[i]]
+        j, n = i + 1, len(part)
+        while j <= n and (s := part[i:j]) in self.prefixes:
+            if s in self.arcs:
+                out.append(s)
+            j += 1
+        return out
+
+    def shortest(self, part: str) -> list[str]:
+        """The arcs of the path of weight 0 through the lattice of one part."""
+        n, at, last = len(part), 0, ""
+        left, path, dead = [self.outgoing(part, 0)], [], set()
+        while at < n:
+            options = left[-1]
+            while options:
+                s = options.pop()
+                if at + len(s) not in dead and self.follows(last, s):
+                    path.append(s)
+                    at, last = at + len(s), s
+                    left.append(self.outgoing(part, at) if at < n else [])
+                    break
+            else:  # no way on from here
+                dead.add(at)
+                left.pop()
+                at -= len(path.pop())
+                last = path[-1] if path else ""
+        return path
+
+    def spell(self, arcs: list[str]) -> list[int]:
         out: list[int] = []
-        j = n
-        while j:
-            i, piece = back[j]
-            out.extend(reversed(self.fallback(part[i])) if piece < 0 else (piece,))
-            j = i
-        return out[::-1]
-
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The trie as arrays over the LETTERS characters that most pieces use: code of each code point, first and next
-        nodes, and each node's piece and weight (pieces in the high half, rank in the low)."""
-        used = Counter(c for p in self.arcs for c in p if c in self.arcs)
-        letters = {c: i for i, (c, _) in enumerate(sorted(used.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        code = np.full(0x110000, LETTERS, np.uint8)
-        for c, i in letters.items():
-            code[ord(c)] = i
-        edges: dict[tuple[int, int], int] = {}
-        piece, weight = [-1], [0]
-        for p, (w, i) in self.arcs.items():
-            if all(c in letters for c in p):
-                node = 0
-                for c in p:
-                    to = edges.get((node, letters[c]))
-                    if to is None:
-                        to = edges[node, letters[c]] = len(piece)
-                        piece.append(-1)
-                        weight.append(0)
-                    node = to
-                piece[node], weight[node] = i, (1 << 40) + w - PIECE
-        follow = np.full((len(piece), LETTERS + 1), -1, np.int32)
-        for (node, c), to in edges.items():
-            follow[node, c] = to
-        return code, follow[0], follow, np.array(piece, np.int32), np.array(weight)
+        for s in arcs:
+            piece = self.arcs.get(s)
+            if piece is None:
+                out.extend(self.bytes[b] for b in (SPACE if s == LITERAL else s).encode())
+            else:
+                out.append(piece)
+        return out
+
+    def part_ids(self, part: str) -> bytes:
+        """Little-endian ids of a part: of several marks the last joins the word, unless its path leaves it alone."""
+        word = part.lstrip(SPACE)
+        marks = len(part) - len(word)
+        arcs = self.shortest(SPACE * (marks > 0) + word) if word else []
+        if not word or marks > 1:
+            if arcs and arcs[0] == SPACE:
+                arcs = [*self.merged(SPACE * marks), *arcs[1:]]
+            else:
+                arcs = [*self.merged(SPACE * (marks - bool(word))), *arcs]
+        return np.array(self.spell(arcs), "<u4").tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        """Shortest paths of new parts: those of common characters by length, all of one length at once; others one by one."""
+        """Remember the ids of new parts."""
         new = parts.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = parts
-        if self.arrays is None:
-            self.arrays = self.table()
-        code, first, follow, piece, weight = self.arrays
-        by_length = defaultdict(list)
         for p in new:
-            by_length[len(p) if len(p) <= BATCHED else 0].append(p)
-        for p in by_length.pop(0, []):
-            self.known[p] = np.array(self.shortest(p), "<u4").tobytes()
-        for n, own in by_length.items():
-            letter = code[np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1, n)
-            common = (letter < LETTERS).all(1)
-            for i in np.flatnonzero(~common).tolist():
-                self.known[own[i]] = np.array(self.shortest(own[i]), "<u4").tobytes()
-            rows = np.flatnonzero(common)
-            if not len(rows):
-                continue
-            letter = letter[rows]
-            m = len(rows)
-            cost = np.full((m, n + 1), np.iinfo(np.int64).max >> 1)
-            cost[:, 0] = 0
-            start, used = np.zeros((m, n + 1), np.int16), np.zeros((m, n + 1), np.int32)
-            for a in range(n):
-                at, node = np.arange(m), first[letter[:, a]]
-                for b in range(a + 1, n + 1):
-                    ends = piece[node] >= 0
-                    to, own_node = at[ends], node[ends]
-                    through = cost[to, a] + weight[own_node]
-                    better = through < cost[to, b]
-                    to, own_node = to[better], own_node[better]
-                    cost[to, b], start[to, b], used[to, b] = through[better], a, piece[own_node]
-                    if b < n:
-                        node = follow[node, letter[at, b]]
-                        on = node >= 0
-                        node, at = node[on], at[on]
-                        if not len(at):
-                            break
-            ids, filled = np.zeros((m, n), "<u4"), np.zeros(m, np.int64)
-            place, at = np.full(m, n), np.arange(m)
-            while len(at):  # back along the best arcs, filling from the right
-                filled[at] += 1
-                ids[at, n - filled[at]] = used[at, place[at]]
-                place[at] = start[at, place[at]]
-                at = at[place[at] > 0]
-            for i, k, row in zip(rows.tolist(), filled.tolist(), ids, strict=True):
-                self.known[own[i]] = row[n - k :].tobytes()
+            self.known[p] = self.part_ids(p)
 
     def parts(self, text: str) -> list[str]:
         """The normalised text, cut before each run of marks."""
@@ -184,13 +169,12 @@ class Transducer:
 
     def with_literals(self, text: str) -> bytes:
         """A text that holds the stand-in itself, which no piece spells either: cut there and spelled in bytes."""
-        spelled = [self.bytes[b] for b in LITERAL.encode()]
-        ids: list[int] = []
+        spelled = np.array([self.bytes[b] for b in LITERAL.encode()], "<u4").tobytes()
+        out = []
         for k, s in enumerate(text.split(LITERAL)):
-            ids += spelled * (k > 0)
-            for p in PART.findall((SPACE if not k else "") + s.replace(SPACE, LITERAL).replace(" ", SPACE)):
-                ids += self.shortest(p)
-        return np.array(ids, "<u4").tobytes()
+            out += [spelled] * (k > 0)
+            out += map(self.part_ids, self.cut.findall((SPACE if not k else "") + s.replace(SPACE, LITERAL).replace(" ", SPACE)))
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_all([text])[0], "<u4")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import packing, token_counts, transducer
-from tessera.llm.vocabularies import SPACE, pieces, tokenizer
+from tessera.llm.vocabularies import SPACE, pieces, sentencepiece_model, tokenizer
 from tests.llm.helpers import blanks_split, frame, prose
 
 MODEL, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -57,22 +57,54 @@ def test_round_trip(text):
     assert t.decode(t.encode(text)) == text
 
 
-def cheapest(part, arcs, width=20):
-    """All segmentations by recursion; least (pieces, ranks)."""
-    best = {len(part): (0, [])}
-    for a in range(len(part) - 1, -1, -1):
-        options = [(arcs[part[a:b]][0] + best[b][0], [arcs[part[a:b]][1], *best[b][1]]) for b in range(a + 1, min(len(part), a + width) + 1) if part[a:b] in arcs and b in best]
-        if options:
-            best[a] = min(options, key=lambda x: x[0])
-    return best[0]
+def merges(letters, score):
+    """The best neighbours are joined, the first of equals, until none are left."""
+    parts = list(letters)
+    while True:
+        best = max(((score[x + y], -i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in score), default=None)
+        if best is None:
+            return parts
+        i = -best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-def test_shortest_path():
+@given(st.text(st.sampled_from(f"{SPACE}abdehinorstu\u00e9\u65e5\U0001f600"), min_size=1, max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_merges_and_paths(part):
+    """The path of weight 0 is what the merges leave, and the only one: by recursion over all segmentations."""
+    t = transducer.transducer(MODEL)
+    want = merges(part, t.score)
+    assert t.merged(part) == want
+    word = part.replace(SPACE, "")
+    if word:
+        assert t.shortest(SPACE + word) == merges(SPACE + word, t.score)
+
+        def paths(at, last):
+            if at == len(word):
+                return 1
+            return sum(paths(at + len(s), s) for s in t.outgoing(word, at) if t.follows(last, s))
+
+        if len(word) < 9:
+            assert paths(0, "") == 1
+
+
+def same_as_library(texts):
     t = transducer.transducer(MODEL)
-    weight = {i: w for w, i in t.arcs.values()}
-    for word in prose(random.Random(2), 300) + ["internationalisation", "antidisestablishment"]:
-        got = t.shortest(SPACE + word)
-        assert sum(weight[i] for i in got) == cheapest(SPACE + word, t.arcs)[0]
+    for text, got, want in zip(texts, t.encode_all(texts), sentencepiece_model(MODEL).encode(texts, num_threads=1), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want, ascii(text)
+
+
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"], exclude_characters=SPACE), st.sampled_from("  \n\tabeinrst.,1\ue000")), max_size=60), max_size=10))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_any_text(texts):
+    same_as_library(texts)
+
+
+def test_ids_of_the_tables():
+    import pyarrow.parquet as pq
+
+    same_as_library([x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()])
+    same_as_library([" " * n for n in range(70)] + ["x" + " " * n + "\ufb01" for n in range(40)] + ["ab " * 3 + " " * n + "cd" for n in range(40)] + [x.replace(SPACE, "") for x in TEXTS.values() if x])
 
 
 def test_transducer_on_tables(spark):
