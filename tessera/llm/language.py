@@ -3,14 +3,18 @@
 Each language has probabilities for the pieces of a fixed public vocabulary. A word's probability is the sum over all
 ways to cut it into pieces, by the forward algorithm; a text's is the product over its words. The probabilities are
 fitted by expectation-maximisation (forward-backward) on a bounded sample of labelled rows. Words are lower-cased runs
-of letters; cuts never cross words, so equal words share one computation. Words of over 32 characters are
-cut every 32 characters, so that their probabilities stay within doubles.
+of letters; cuts never cross words, so equal words share one computation. The sums are rescaled on their way, so words
+of any length stay within doubles.
+
+Bounds of what is learned from: LANGUAGES most frequent labels, about DOCS_PER_LANGUAGE documents each, of SAMPLE_CHARS
+characters at most, and of them words of up to TAUGHT characters. Every text is scored whole. NULL ids are drawn and
+scored like others.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,9 +29,12 @@ from tessera.llm.vocabularies import SPACE, pieces
 
 #: Labelled documents that a language is learned from; all if it has fewer.
 DOCS_PER_LANGUAGE = 150
-ROUNDS, PRIOR, UNKNOWN, LONGEST = 2, 0.02, 1e-8, 32
+#: Labels that are learned at most, the most frequent ones; characters of a document, and of a word, that teaches.
+LANGUAGES, SAMPLE_CHARS, TAUGHT = 500, 20_000, 400
+ROUNDS, PRIOR, UNKNOWN = 2, 0.02, 1e-8
 WORD = re.compile(r"[^\W\d_]+")
-ALPHABET = 127
+#: Places after which sums are rescaled.
+RESCALE = 16
 #: A text's log odds are scaled down to those of so many words, so that scores tell long texts apart too.
 SCORED_WORDS = 40
 REMEMBERED = 300_000
@@ -37,8 +44,8 @@ REMEMBERED = 300_000
 class Trie:
     """Pieces as a table: first[code point] and next[node, letter] give nodes, piece[node] the piece that ends there.
 
-    Letters are the ALPHABET characters that most pieces use; a piece of several characters must be made of them, of
-    single characters all are kept. size: number of pieces, which is also the row of an unknown character.
+    Letters are the characters of pieces of several characters. size: number of pieces, which is also the row of an
+    unknown character.
     """
 
     first: np.ndarray
@@ -53,10 +60,9 @@ class Trie:
 def trie(vocabulary: str) -> Trie:
     plain = [p.lower() for p in pieces(vocabulary) if not (p.startswith("<") and p.endswith(">") and len(p) > 2)]
     known = {p for p in plain if SPACE not in p[1:] and p != SPACE}
-    used = Counter(c for p in known if len(p) > 1 for c in p)
-    letters = {c: i for i, (c, _) in enumerate(sorted(used.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])}
-    kept = sorted(p for p in known if len(p) == 1 or all(c in letters for c in p))
-    letter = np.full(0x110000, ALPHABET, np.uint8)
+    letters = {c: i for i, c in enumerate(sorted({c for p in known if len(p) > 1 for c in p}))}
+    kept = sorted(known)
+    letter = np.full(0x110000, len(letters), np.uint16)
     for c, i in letters.items():
         letter[ord(c)] = i
     first = np.full(0x110000, -1, np.int32)
@@ -74,7 +80,7 @@ def trie(vocabulary: str) -> Trie:
                 ends.append(-1)
             node = to
         ends[node] = row
-    follow = np.full((len(ends), ALPHABET + 1), -1, np.int32)
+    follow = np.full((len(ends), len(letters) + 1), -1, np.int32)
     for (node, c), to in edges.items():
         follow[node, c] = to
     return Trie(first, follow, np.array(ends, np.int32), letter, len(kept) + 1, max(map(len, kept)))
@@ -110,9 +116,9 @@ def lattices(words: list[str], vocabulary: str) -> Iterator[tuple[np.ndarray, np
 
 
 def forward(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language]: sums over all segmentations of what lies before the place."""
+    """alpha[word, place, language]: sums over all segmentations of what lies before the place; in the type of p."""
     m, n, width = rows.shape
-    alpha = np.zeros((m, n + 1, p.shape[1]))
+    alpha = np.zeros((m, n + 1, p.shape[1]), p.dtype)
     alpha[:, 0] = 1
     for a in range(n):
         for k in range(1, min(width, n - a) + 1):
@@ -122,27 +128,45 @@ def forward(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_probabilities(rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """[word, language]: log of the sums over all segmentations. Only the places that pieces reach are held, and they
+    are rescaled by their largest every RESCALE places."""
+    m, n, width = rows.shape
+    ahead = [np.zeros((m, p.shape[1])) for _ in range(width + 1)]
+    ahead[0] += 1
+    logs = np.zeros((m, p.shape[1]))
+    for a in range(n):
+        here = ahead[0]
+        for k in range(1, min(width, n - a) + 1):
+            have = np.flatnonzero(rows[:, a, k - 1] >= 0)
+            if len(have):
+                ahead[k][have] += here[have] * p[rows[have, a, k - 1]]
+        ahead = [*ahead[1:], here]
+        here[:] = 0
+        if (a + 1) % RESCALE == 0:
+            most = np.maximum.reduce(ahead)
+            for x in ahead:
+                x /= most
+            logs += np.log(most)
+    return logs + np.log(ahead[0])
+
+
 def expected(rows: np.ndarray, weight: np.ndarray, p: np.ndarray, into: np.ndarray) -> None:
     """Add the expected piece counts of the weighted words (weight[word, language]) by forward-backward."""
     m, n, width = rows.shape
     alpha = forward(rows, p)
     beta = np.zeros_like(alpha)
-    beta[:, n] = weight / np.maximum(alpha[:, n], 1e-300)
+    beta[:, n] = weight / alpha[:, n]
     for a in range(n - 1, -1, -1):
         for k in range(1, min(width, n - a) + 1):
             have = np.flatnonzero(rows[:, a, k - 1] >= 0)
             if len(have):
                 own = rows[have, a, k - 1]
                 step = p[own] * beta[have, a + k]
-                np.add.at(into, own, alpha[have, a] * step)
+                np.add.at(into, own, (alpha[have, a] * step).astype(into.dtype))
                 beta[have, a] += step
 
 
-def cut(word: str) -> list[str]:
-    w = SPACE + word
-    return [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-
-
 @dataclass
 class Model:
     """languages by name; p[piece, language], the last piece standing for an unknown character."""
@@ -158,9 +182,9 @@ def fit(counts: list[tuple[str, str, int]], vocabulary: str) -> Model:
     place = {x: i for i, x in enumerate(languages)}
     weights: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
     for language, word, times in counts:
-        for w in cut(word):
-            weights[w][place[language]] += times
-    words = list(weights)
+        if len(word) < TAUGHT:
+            weights[SPACE + word][place[language]] += times
+    words = sorted(weights)
     weight = np.array([weights[w] for w in words]).reshape(len(words), len(languages))
     size = trie(vocabulary).size + 1
     p = np.full((size, len(languages)), 1 / size)
@@ -168,8 +192,8 @@ def fit(counts: list[tuple[str, str, int]], vocabulary: str) -> Model:
     made = list(lattices(words, vocabulary))
     for _ in range(ROUNDS):
         sums = np.full((size, len(languages)), PRIOR)
-        for members, rows in made:
-            expected(rows, weight[members], p, sums)
+        for members, rows in made:  # long words' sums need a wider exponent
+            expected(rows, weight[members], p if rows.shape[1] <= 32 else p.astype(np.longdouble), sums)
         sums[-1] = 0
         p = sums / sums.sum(0)
         p[-1] = UNKNOWN
@@ -177,16 +201,19 @@ def fit(counts: list[tuple[str, str, int]], vocabulary: str) -> Model:
 
 
 def sample_counts(docs: DataFrame, label: str, learn: Column, per_language: int) -> list[tuple[str, str, int]]:
-    """Word counts of about per_language documents of each language (never over twice that), chosen by a hash of doc_id."""
-    rows = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row a language
+    """Word counts of about per_language documents of each language (over all never more than twice that), those of least hash, ties by id and text."""
+    rows = docs.where(learn & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
+    most = rows.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    sizes = {r.l: r.n for r in most.collect()}  # at most LANGUAGES rows
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = rows.where(draw < share[F.col(label)]).select(label, "text").limit(2 * per_language * len(sizes))
-    words = drawn.select(F.col(label).alias("l"), F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("w")).where("w <> ''")
-    return [(r.l, r.w, r.n) for r in words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).collect()]
+    drawn = rows.where(draw < share[F.col(label)]).select(F.col(label).alias("l"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    drawn = drawn.orderBy("h", "text", "l").limit(2 * per_language * len(sizes))
+    words = drawn.select("l", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("w")).where("w <> ''")
+    counts = words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).collect()  # words of a sample bounded in documents and characters
+    return sorted((r.l, r.w, r.n) for r in counts)
 
 
 class Scorer:
@@ -205,15 +232,9 @@ class Scorer:
         if len(self.at) + len(new) > REMEMBERED:
             self.clear()
             new = list(words)
-        parts, owner = [], []
-        for i, w in enumerate(new):
-            for c in cut(w):
-                parts.append(c)
-                owner.append(i)
         scores = np.zeros((len(new), len(self.model.languages)))
-        owner = np.array(owner, np.int64)
-        for members, rows in lattices(parts, self.model.vocabulary):
-            np.add.at(scores, owner[members], np.log(np.maximum(forward(rows, self.model.p)[:, -1], 1e-300)))
+        for members, rows in lattices([SPACE + w for w in new], self.model.vocabulary):
+            scores[members] = log_probabilities(rows, self.model.p)
         n = len(self.at)
         while n + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])

@@ -20,17 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def remainder(n: int):
-    """Of the checksum that splits rows into learned and held out."""
+    """Of the checksum that splits rows into learned and held out; NULL without an id: such a row neither teaches nor is held out."""
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def held_out(n: int, rest: int):
+    return F.coalesce(remainder(n) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = language.identify(table(spark, sf_dir, "documents"), learn=remainder(4) != 2)
-    return got.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", learn=remainder(3) != 1)
-    return got.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

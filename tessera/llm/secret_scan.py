@@ -34,6 +34,8 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
 SEPARATORS = re.compile(r"[-_+/=]")
 #: A run of at most so many characters a token, and of so many tokens at least, is random.
 CHARS_PER_TOKEN, MIN_TOKENS = 2.2, 8
+#: So many letters of one case in a row are no identifier's word; as they may still be language, they need fewer characters a token.
+LONG_PART, CHARS_PER_TOKEN_OF_LETTERS = 16, 1.9
 MASK = "[SECRET]"
 
 
@@ -42,14 +44,17 @@ def _tokens(vocabulary: str):
     return tiktoken_encoding(vocabulary).encode_ordinary
 
 
+def longest_part(run: str) -> int:
+    return max(map(len, PART.findall(run)), default=0)
+
+
 def excluded(run: str) -> bool:
-    """Known digests, UUIDs, numbers, and identifiers whose parts are words."""
+    """Known digests, UUIDs, numbers, and identifiers whose parts are words; how hard a long part is to say, its tokens tell."""
     bare = run.strip("=-_/+")
     if len(bare) < 16 or bare.isdigit() or UUID.match(bare) or HEXES.match(bare) and len(bare) in DIGESTS:
         return True
-    classes = bool(re.search("[a-z]", bare)) + bool(re.search("[A-Z]", bare)) + bool(re.search("[0-9]", bare))
-    if classes < 2:
-        return True
+    if longest_part(bare) >= LONG_PART:
+        return False
     if all(len(PART.findall(x)) <= 2 for x in SEPARATORS.split(bare)):
         return True
     return len(PART.findall(bare)) <= 2 + len(bare) / 6  # words of about six characters; random strings change class sooner
@@ -69,7 +74,8 @@ def spans(text: str | None, vocabulary: str = "byte_bpe_50k.tiktoken") -> list[t
     for m in RUN.finditer(text):
         if not excluded(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base):
             n = len(_tokens(vocabulary)(m[0]))
-            if n >= MIN_TOKENS and len(m[0]) <= CHARS_PER_TOKEN * n:
+            limit = CHARS_PER_TOKEN_OF_LETTERS if longest_part(m[0]) >= LONG_PART else CHARS_PER_TOKEN
+            if n >= MIN_TOKENS and len(m[0]) <= limit * n:
                 found.append(("random", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

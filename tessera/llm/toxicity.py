@@ -13,9 +13,11 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -110,7 +112,10 @@ def weight(folded: str, automaton) -> float:
         else:
             excused.append((start, end))
     if excused:
-        hits = {s: w for s, w in hits.items() if not any(a <= s <= b - 1 for a, b in excused)}
+        excused.sort()
+        firsts = [a for a, _ in excused]
+        reach = list(accumulate((b for _, b in excused), max))  # how far the phrases up to each one go
+        hits = {s: w for s, w in hits.items() if not (k := bisect_right(firsts, s)) or reach[k - 1] <= s}
     return sum(hits.values())
 
 
@@ -188,14 +193,16 @@ def probability(model: Model, automaton, text: str) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> list[tuple[str, int]]:
-    """Texts of a bounded number of labelled rows, those of least hash; at most SAMPLE rows of a label reach the driver."""
+    """Texts of a bounded number of labelled rows, those of least hash, ties by id and text; at most SAMPLE rows of a label are
+    drawn, and where ids repeat twice as many texts reach the driver at most."""
     ids = None
     for value, n in SAMPLE.items():
         own = labels.where(learn & (F.col(label) == value)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = own if ids is None else ids.unionByName(own)
     texts = docs.where(learn).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("text", "y").limit(2 * sum(SAMPLE.values())).collect()  # ids are bounded by SAMPLE
+    rows = texts.join(F.broadcast(ids), "doc_id")  # ids are bounded by SAMPLE
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "y").limit(2 * sum(SAMPLE.values())).select("text", "y").collect()
     return sorted((r.text, r.y) for r in rows)
 
 

@@ -45,6 +45,61 @@ def test_forward_sums_all_segmentations():
                     assert (lattice[0, a, k - 1] >= 0) == (word[a : a + k] in known)
 
 
+def segmentations(lattice):
+    """All ways through the lattice of one word: lists of rows."""
+    n, width = lattice.shape
+
+    def ways(a):
+        if a == n:
+            yield []
+        for k in range(1, min(width, n - a) + 1):
+            if lattice[a, k - 1] >= 0:
+                for rest in ways(a + k):
+                    yield [int(lattice[a, k - 1]), *rest]
+
+    return list(ways(0))
+
+
+def test_expected_counts():
+    """Forward-backward gives each piece its expected number, by all segmentations."""
+    t = language.trie(MODEL)
+    rng = np.random.default_rng(2)
+    p = rng.random((t.size + 1, 2))
+    for word in (f"{SPACE}hello", f"{SPACE}\u00e9x\u00df\u8a9e", f"{SPACE}banane"):
+        for _, lattice in language.lattices([word], MODEL):
+            weight, got, want = np.array([[2.0, 0.5]]), np.zeros_like(p), np.zeros_like(p)
+            language.expected(lattice, weight, p, got)
+            ways = segmentations(lattice[0])
+            chance = np.array([np.prod(p[w], 0) for w in ways])
+            for w, c in zip(ways, chance / chance.sum(0), strict=True):
+                for row in w:
+                    want[row] += c * weight[0]
+            assert np.allclose(got, want)
+            assert np.allclose(language.log_probabilities(lattice, p)[0], np.log(chance.sum(0)))
+
+
+def test_long_words():
+    """Words far beyond the range of doubles: the same as sums of a wider type, and pieces join over any place."""
+    t = language.trie(MODEL)
+    p = np.random.default_rng(3).random((t.size + 1, 2)) * 1e-7
+    rnd = random.Random(4)
+    words = [SPACE + "".join(rnd.choices("abcdefghiorst\u00e9\u8a9e", k=n)) for n in (31, 32, 33, 64, 300)]
+    for members, lattice in language.lattices(words, MODEL):
+        want = np.log(language.forward(lattice, p.astype(np.longdouble))[:, -1])
+        assert np.allclose(language.log_probabilities(lattice, p), want.astype(float)), members
+
+
+def test_all_pieces_are_kept():
+    known = {x.lower() for x in pieces(MODEL) if not (x.startswith("<") and x.endswith(">") and len(x) > 2) and SPACE not in x[1:] and x != SPACE}
+    assert language.trie(MODEL).size == len(known) + 1
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    df = frame(spark, {i: "aa bb" if i < 8 else "cc" for i in range(12)}, lang=lambda i: "x" if i < 5 else "y" if i < 8 else f"dirty{i}")
+    assert {r.lang_pred for r in language.identify(df).collect()} == {"x", "y"}
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
@@ -74,6 +129,43 @@ def test_toxicity(spark):
     assert area > 0.95 and np.mean([g >= 0.7 for g in good]) < 0.02
 
 
+def naive_weight(folded, model):
+    """Each stem and phrase searched by itself."""
+    hits, excused = {}, []
+    for stem, w in model.lexicon.items():
+        at = folded.find(stem)
+        while at >= 0:
+            hits[at] = max(w, hits.get(at, 0.0))
+            at = folded.find(stem, at + 1)
+    for phrase in model.exceptions:
+        at = folded.find(phrase)
+        while at >= 0:
+            excused.append((at, at + len(phrase) - 1))
+            at = folded.find(phrase, at + 1)
+    return sum(w for s, w in hits.items() if not any(a <= s < b for a, b in excused))
+
+
+def test_matching_is_search():
+    rnd = random.Random(5)
+    for _ in range(200):
+        word = lambda: "".join(rnd.choices("abc", k=rnd.randrange(1, 5)))
+        lexicon = {f" {word()}" + rnd.choice(["", " "]): float(rnd.randrange(1, 9)) for _ in range(6)}
+        model = toxicity.Model(lexicon, [f" {word()} {word()} " for _ in range(4)], (0.0, 0.0, 0.0))
+        folded = f" {' '.join(word() for _ in range(60))} "
+        assert toxicity.weight(folded, model.automaton()) == pytest.approx(naive_weight(folded, model))
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    model = toxicity.Model({" bad": 1.0}, [" bad flower "], (0.0, 0.0, 0.0))
+    text = "bad flower and bad weed " * 42_000  # a megabyte
+    machine = model.automaton()
+    began = time.perf_counter()
+    assert toxicity.weight(toxicity.fold(text), machine) == 42_000
+    assert time.perf_counter() - began < 2
+
+
 def test_exceptions_and_edges(spark):
     rnd = random.Random(3)
     harmless = [f"w{i}" for i in range(400)]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import uuid
 
@@ -73,3 +74,12 @@ def test_masking(spark):
     assert all(not s.spans(r.text) for r in got.values() if r.doc_id != 3)
     assert {r.doc_id: len(r.found) for r in s.scan(df).collect()}[4] == 2
     assert s.digests(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("alphabet", "share"), [("abcdefghijklmnopqrstuvwxyz", 0.8), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.8), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.85), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.97)])
+def test_recall_of_random_strings(alphabet, share):
+    rnd = random.Random(3)
+    drawn = ["".join(rnd.choices(alphabet, k=rnd.randrange(16, 65))) for _ in range(400)]
+    assert sum(any(k == "random" for k, _, _ in s.spans(f"the key {x} is here")) for x in drawn) >= share * 400
+    words = ["internationalisation_of_everything", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "getElementsByClassNameAndTag", "electroencephalographically"]
+    assert not any(s.spans(f"the {x} is here") for x in words)
