@@ -45,9 +45,15 @@ def rle_encode(df: DataFrame, value: str, order: str, within: Sequence[str] = ()
     return starts.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(order).alias("run_start"), F.first(value).alias("val"), F.count(F.lit(1)).alias("cnt")).drop("__run")
 
 
+#: Rows of a run that one array holds while it is decoded.
+CHUNK = 1 << 16
+
+
 def rle_decode(runs: DataFrame) -> DataFrame:
-    """Each val cnt times, with its place in the run: columns run_start, place, val."""
-    return runs.where("cnt > 0").select("run_start", F.posexplode(F.sequence(F.lit(1), F.col("cnt"))).alias("place", "__one"), "val").drop("__one")
+    """Each val cnt times, with its place in the run from 0: columns run_start, place, val. A long run goes chunk by chunk."""
+    chunks = runs.where("cnt > 0").select("run_start", "val", "cnt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cnt").cast("bigint") - 1, F.lit(CHUNK).cast("bigint"))).alias("__at"))
+    last = F.least(F.col("cnt").cast("bigint"), F.col("__at") + CHUNK) - 1
+    return chunks.select("run_start", F.explode(F.sequence(F.col("__at"), last)).alias("place"), "val")
 
 
 def delta_encode(df: DataFrame, value: str, order: str, within: Sequence[str] = ()) -> DataFrame:
@@ -55,10 +61,15 @@ def delta_encode(df: DataFrame, value: str, order: str, within: Sequence[str] =
     return _previous(df, value, order, within).withColumn("delta", F.col(value) - F.coalesce(F.col("__prev"), F.lit(0))).drop("__prev", "__first", PART)
 
 
-def delta_decode(df: DataFrame, delta: str, order: str, within: Sequence[str]) -> DataFrame:
-    """Adds value: the running sum of the deltas."""
-    w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("value", F.sum(delta).over(w))
+def delta_decode(df: DataFrame, delta: str, order: str, within: Sequence[str] = ()) -> DataFrame:
+    """Adds value: the running sum of the deltas, of each segment or of all rows."""
+    w = Window.partitionBy(*(within or [PART])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if within:
+        return df.withColumn("value", F.sum(delta).over(w))
+    parts = ranged(df, order)
+    sums = parts.groupBy(PART).agg(F.sum(delta).alias("__sum"))
+    base = sums.select(PART, before(sums, "__sum").alias("__base"))  # one row a range
+    return parts.join(F.broadcast(base), PART).withColumn("value", F.col("__base") + F.sum(delta).over(w)).drop(PART, "__base")
 
 
 def dictionary(df: DataFrame, value: str, order: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """One total order over all rows without one task that sees them all.
 
-Rows are range-partitioned by the order and kept (memory, then disk), because two plans read them: one that sums up each
-partition, and one that needs those sums. Were they dealt out twice, the sampled bounds might differ. Only a row a
-partition is put in sequence.
+Rows are range-partitioned by the order and written with the number of their range, because two plans read them: one
+that sums up each range, and one that needs those sums. Were they dealt out twice, the sampled bounds might differ. Only a
+row a range is put in sequence.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import save
+
 PART = "__part"
 
 
 def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
-    """The rows with __part, the number of their range; equal keys share a range. unpersist() when done with it."""
+    """The rows with __part, the number of their range, written; equal keys share a range."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()).persist()
+    return save(df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()), "ranges")
 
 
 def before(sums: DataFrame, column: str) -> Column:

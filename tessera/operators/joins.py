@@ -35,6 +35,20 @@ def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", stra
     return left.join(right, on, how)
 
 
+def against(rows: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
+    """Every row with every query row, in blocks of queries: a row travels once a block, and each meeting is one generator.
+
+    Blocks are broadcast if the queries are estimated within BROADCAST_BYTES; beyond it they are joined by their number.
+    """
+    n = max(1, -(-queries.count() // block))
+    dealt = queries.select(F.pmod(F.xxhash64(*queries.columns), F.lit(n)).alias("__block"), F.struct(*queries.columns).alias("__query"))
+    blocks = dealt.groupBy("__block").agg(F.collect_list("__query").alias("__queries"))
+    if estimated_bytes(queries) <= BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
+    copies = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("__block"))
+    return copies.join(blocks, "__block").select(*rows.columns, F.inline("__queries"))
+
+
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cartesian product; for relations of a fixed small size."""
     return left.crossJoin(right)

@@ -1,4 +1,4 @@
-"""Projection, filter, aggregation, windows, order and set operations as plain plan builders."""
+"""Projection, filter, aggregation, windows and order as plain plan builders."""
 
 from __future__ import annotations
 

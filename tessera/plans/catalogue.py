@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.encoding import delta_encode, dictionary_encode, rle_encode
+from tessera.functions.encoding import delta_decode, delta_encode, dictionary_encode, rle_decode, rle_encode
 from tessera.functions.expressions import int_div, wide
-from tessera.functions.stats import column_stats, equi_depth_exact
+from tessera.functions.ordering import numbered
+from tessera.functions.stats import column_stats, distinct_sketch, equi_depth_exact, selectivity
 from tessera.functions.vectors import dot
 from tessera.functions.visibility import ReadView, visible
 from tessera.operators import joins
 from tessera.operators import relational as rel
+from tessera.plans.sql import SqlEngine
+from tessera.sources.scratch import fresh
 from tessera.sources.snapshots import delete_rows, union_all, update_rows
-from tessera.sources.tables import point_lookup, range_lookup, scan, values
+from tessera.sources.tables import point_lookup, range_lookup, register, scan, values
 from tessera.streaming import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,29 +162,52 @@ def owner() -> Column:
     return c("c_custkey") == c("o_custkey")
 
 
-def early(spark: SparkSession, d: str) -> DataFrame:
-    return rel.keep(scan(spark, d, "orders"), c("o_orderkey") < 500)
-
-
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_inner(spark: SparkSession, d: str) -> DataFrame:
     return joins.join(scan(spark, d, "orders"), scan(spark, d, "customer"), owner()).select("o_orderkey", "c_name")
 
 
-@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 500) o ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def join_left(spark: SparkSession, d: str) -> DataFrame:
-    return joins.join(scan(spark, d, "customer"), early(spark, d), owner(), "left").select("c_custkey", "o_orderkey")
+    return joins.join(scan(spark, d, "customer"), scan(spark, d, "orders"), owner(), "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderkey < 500) o RIGHT JOIN customer ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey")
 def join_right(spark: SparkSession, d: str) -> DataFrame:
-    return joins.join(early(spark, d), scan(spark, d, "customer"), owner(), "right").select("c_custkey", "o_orderkey")
+    return joins.join(scan(spark, d, "orders"), scan(spark, d, "customer"), owner(), "right").select("c_custkey", "o_orderkey")
 
 
-@query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_nationkey < 12) c
-          FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderkey < 500) o ON c_custkey = o_custkey""")
+@query("SELECT c_custkey, s_suppkey FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey * 20")
 def join_full(spark: SparkSession, d: str) -> DataFrame:
-    return joins.join(rel.keep(scan(spark, d, "customer"), c("c_nationkey") < 12), early(spark, d), owner(), "full").select("c_custkey", "o_orderkey")
+    return joins.join(scan(spark, d, "customer"), scan(spark, d, "supplier"), c("c_custkey") == c("s_suppkey") * 20, "full").select("c_custkey", "s_suppkey")
+
+
+def by_strategy(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    return joins.join(scan(spark, d, "orders"), scan(spark, d, "customer"), owner(), "inner", strategy).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+BY_SEGMENT = "SELECT c_mktsegment, COUNT(*) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+
+
+@query(BY_SEGMENT)
+def join_shuffle_hash(spark: SparkSession, d: str) -> DataFrame:
+    return by_strategy(spark, d, "hash")
+
+
+@query(BY_SEGMENT)
+def join_sort_merge(spark: SparkSession, d: str) -> DataFrame:
+    return by_strategy(spark, d, "merge")
+
+
+@query(BY_SEGMENT)
+def join_broadcast_hash(spark: SparkSession, d: str) -> DataFrame:
+    return by_strategy(spark, d, "broadcast")
+
+
+@query("SELECT n_name, COUNT(*) AS cnt FROM nation JOIN supplier ON s_nationkey < n_nationkey GROUP BY n_name")
+def join_nested_loop(spark: SparkSession, d: str) -> DataFrame:
+    on = c("s_nationkey") < c("n_nationkey")
+    return joins.join(scan(spark, d, "nation"), scan(spark, d, "supplier"), on, "inner", "nested_loop").groupBy("n_name").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal")
@@ -285,11 +311,12 @@ def stats_equidepth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT a.vec_id AS a_id, b.vec_id AS b_id, ROUND(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot
-          FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0""")
+          FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0""")
 def vector_dot(spark: SparkSession, d: str) -> DataFrame:
     rows = scan(spark, d, "embeddings")
-    a, b = rows.select(c("vec_id").alias("a_id"), c("embedding").alias("a"), c("label").alias("la")), rows.select(c("vec_id").alias("b_id"), c("embedding").alias("b"), c("label").alias("lb"))
-    return joins.join(b, a.where("a_id % 50 = 0"), c("la") == c("lb")).select("a_id", "b_id", F.round(dot(c("a"), c("b")), 4).alias("dot"))
+    queries = rows.where("vec_id % 50 = 0").select(c("vec_id").alias("a_id"), c("embedding").alias("a"))
+    pairs = joins.against(rows.select(c("vec_id").alias("b_id"), c("embedding").alias("b")), queries)
+    return pairs.select("a_id", "b_id", (F.rint(dot(c("a"), c("b")) * 10000) / 10000).alias("dot"))  # keeps a zero's sign
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 ORDER BY o_orderkey")
@@ -323,9 +350,9 @@ def dict_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return dictionary_encode(scan(spark, d, "part"), "p_type", "p_partkey").select("p_partkey", wide(c("code")).alias("code"))
 
 
-@query("""SELECT MIN(p_partkey) AS mi, p_size FROM part WHERE p_size < 10 GROUP BY p_size HAVING MIN(p_partkey) < 100""")
+@query("""SELECT MIN(p_partkey) AS mi, p_size FROM part GROUP BY p_size HAVING MIN(p_partkey) < 100""")
 def agg_having_min(spark: SparkSession, d: str) -> DataFrame:
-    return rel.aggregate(rel.keep(scan(spark, d, "part"), c("p_size") < 10), ["p_size"], {"mi": ("min", "p_partkey")}, having=c("mi") < 100)
+    return rel.aggregate(scan(spark, d, "part"), ["p_size"], {"mi": ("min", "p_partkey")}, having=c("mi") < 100)
 
 
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, o_orderkey % 12 AS i, o_custkey % 12 AS x, o_orderstatus = 'F' AS gone FROM orders) v
@@ -335,6 +362,86 @@ def mvcc_visible(spark: SparkSession, d: str) -> DataFrame:
     return rel.keep(versions, visible(ReadView(me=10, limit=10, active={3, 7}))).select("o_orderkey")
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def rle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Runs decoded again; a row's number is that of its run's start on."""
+    rows = numbered(scan(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    back = rle_decode(rle_encode(rows.select(c("__n").alias("n"), "o_orderstatus"), "o_orderstatus", "n"))
+    keys = rows.select(c("__n").alias("n"), "o_orderkey")
+    return joins.join(back, keys, c("run_start") + c("place") == c("n")).select("o_orderkey", c("val").alias("o_orderstatus"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def delta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    deltas = delta_encode(scan(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey").select("o_orderkey", "delta")
+    return delta_decode(deltas, "delta", "o_orderkey").select("o_orderkey", c("value").alias("o_custkey"))
+
+
+@query("SELECT COUNT(DISTINCT l_partkey) AS ndv, TRUE AS close FROM lineitem")
+def stats_hll(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch's estimate lies within 5 %, three standard errors, of the count."""
+    rows = scan(spark, d, "lineitem")
+    exact = rows.agg(F.count_distinct("l_partkey").alias("ndv"))
+    estimate = distinct_sketch(rows, "l_partkey").select(F.hll_sketch_estimate("sketch").alias("estimate"))
+    return joins.cross(exact, estimate).select("ndv", (F.abs(c("estimate") - c("ndv")) <= 0.05 * c("ndv")).alias("close"))
+
+
+@query("SELECT op, TRUE AS close FROM (VALUES ('<'), ('='), ('>')) t(op)")
+def stats_selectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Shares estimated from 16 buckets lie within one bucket of the true ones."""
+    rows = scan(spark, d, "customer")
+    buckets = [r.asDict() for r in equi_depth_exact(rows, "c_acctbal", "c_custkey", 16).collect()]
+    value, x = 2500.0, c("c_acctbal")
+    true = {"<": x < value, "=": x == value, ">": x > value}
+    near = [F.struct(F.lit(op).alias("op"), (F.abs(F.avg(t.cast("int")) - selectivity(buckets, op, value)) <= 1 / 16).alias("close")) for op, t in true.items()]
+    return rows.agg(F.array(*near).alias("r")).select(F.inline("r"))
+
+
+def engine(spark: SparkSession, d: str) -> SqlEngine:
+    """An engine of its own in the shared folder, which sees the tables as views."""
+    register(spark, d)
+    return SqlEngine(spark, fresh(spark, "sql"))
+
+
+@query("""SELECT c_mktsegment, COUNT(*) AS cnt, MAX(o_totalprice) AS most FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey
+          WHERE o_orderstatus = 'F' AND c_acctbal > 0 GROUP BY c_mktsegment HAVING COUNT(*) > 1""")
+def sql_select(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).execute(ORACLE["sql_select"])
+
+
+SPECIMEN = "CREATE TABLE sql_customer (k BIGINT, segment VARCHAR, nation INT)", "INSERT INTO SQL_CUSTOMER (Segment, K, nation) SELECT c_mktsegment, c_custkey, c_nationkey FROM customer"
+
+
+def after(spark: SparkSession, d: str, *statements: str) -> DataFrame:
+    """The table of SPECIMEN after the statements."""
+    db = engine(spark, d)
+    for statement in (*SPECIMEN, *statements):
+        db.execute(statement)
+    return db.execute("SELECT * FROM sql_customer")
+
+
+@query("SELECT c_custkey AS k, c_mktsegment AS segment, c_nationkey AS nation FROM customer UNION ALL SELECT * FROM (VALUES (-1, 'a, (b)', NULL), (-2, NULL, 3)) v")
+def sql_insert_select(spark: SparkSession, d: str) -> DataFrame:
+    return after(spark, d, "INSERT INTO sql_customer VALUES (-1, 'a, (b)', NULL)", "insert into sql_customer (nation, k) values (3, -2)")
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'a WHERE b' ELSE c_mktsegment END AS segment,
+          c_nationkey AS nation FROM customer""")
+def sql_update(spark: SparkSession, d: str) -> DataFrame:
+    return after(spark, d, "UPDATE sql_customer u SET segment = 'a WHERE b' WHERE u.k IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+
+
+@query("SELECT c_custkey AS k, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE NOT (c_nationkey < 9 OR c_mktsegment = 'BUILDING')")
+def sql_delete(spark: SparkSession, d: str) -> DataFrame:
+    return after(spark, d, "DELETE FROM sql_customer WHERE nation < 9 OR segment = 'BUILDING'")
+
+
+@query("SELECT c_custkey AS k, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_custkey = 42")
+def sql_index_point(spark: SparkSession, d: str) -> DataFrame:
+    """Rows sorted on write: the lookup's predicate skips all files and row groups but one range."""
+    return point_lookup(after(spark, d, "CREATE INDEX by_key ON sql_customer (k)"), "k", 42)
+
+
 QUERIES |= {"update_rows": QUERIES.pop("update_customers"), "delete_rows": QUERIES.pop("delete_customers"), "delta_encode": QUERIES.pop("delta_keys")}
 ORACLE |= {"update_rows": ORACLE.pop("update_customers"), "delete_rows": ORACLE.pop("delete_customers"), "delta_encode": ORACLE.pop("delta_keys")}
 

@@ -1,49 +1,69 @@
-"""Statement router: Spark parses and plans everything but the few statements that Parquet tables lack.
+"""Statement router: Spark parses and plans everything; changes of tables become snapshots.
 
-CREATE TABLE maps a bare VARCHAR to STRING; UPDATE and DELETE become copy-on-write snapshots.
+CREATE TABLE maps a bare VARCHAR to STRING. Names are compared without case.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.sources.snapshots import SnapshotTable
 
 CREATE = re.compile(r"\s*CREATE\s+TABLE\s+(\w+)\s*\((.*)\)\s*;?\s*$", re.I | re.S)
-INSERT = re.compile(r"\s*INSERT\s+INTO\s+(\w+)\s+((?:VALUES|SELECT|WITH).*?);?\s*$", re.I | re.S)
-UPDATE = re.compile(r"\s*UPDATE\s+(\w+)\s+SET\s+(.*?)(?:\s+WHERE\s+(.*?))?;?\s*$", re.I | re.S)
-DELETE = re.compile(r"\s*DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*?))?;?\s*$", re.I | re.S)
-DROP = re.compile(r"\s*DROP\s+TABLE\s+(\w+)\s*;?\s*$", re.I)
+TRANSACTION = re.compile(r"\s*(BEGIN|START\s+TRANSACTION|COMMIT|ROLLBACK|ABORT)\b[\s\w]*;?\s*$", re.I)
+#: Parsed statements that change tables or files and have no form here.
+REFUSED = ("InsertInto", "MergeInto", "Truncate", "Load", "Replace", "Alter", "CreateTable", "DropTable", "UpdateTable", "DeleteFrom", "Overwrite", "Append", "CompoundBody")
 
 
 class SqlEngine:
-    """Tables live under `root` as snapshots and are seen by queries as temporary views of their newest version."""
+    """Tables live under `root` as snapshots, those of earlier engines too, and are seen by queries as temporary views of their newest version."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.tables: dict[str, SnapshotTable] = {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for entry in fs.listStatus(path) if fs.exists(path) else []:
+            name = entry.getPath().getName()
+            if entry.isDirectory() and (table := SnapshotTable(spark, f"{self.root}/{name}")).versions():
+                self.tables[name] = table
+                self._show(name)
 
     def execute(self, statement: str) -> DataFrame:
         """SELECT gives its rows; changes give one row with their count; DDL gives no rows."""
         if m := CREATE.match(statement):
-            return self._create(m[1], m[2])
-        if (m := INSERT.match(statement)) and m[1] in self.tables:
-            return self._changed(m[1], self.tables[m[1]].insert(self.spark.sql(m[2])))
-        if m := UPDATE.match(statement):
-            sets = dict(re.split(r"\s*=\s*", s.strip(), maxsplit=1) for s in _commas(m[2]))
-            return self._changed(m[1], self._table(m[1]).update(F.expr(m[3] or "true"), {c: F.expr(v) for c, v in sets.items()}))
-        if m := DELETE.match(statement):
-            return self._changed(m[1], self._table(m[1]).delete(F.expr(m[2] or "true")))
-        if (m := DROP.match(statement)) and m[1] in self.tables:
-            self.spark.catalog.dropTempView(m[1])
-            table = self.tables.pop(m[1])
-            table.vacuum(keep=0)
-            table._fs.delete(table._path(table.root), True)
+            return self._create(m[1].lower(), m[2])
+        if m := TRANSACTION.match(statement):
+            raise ValueError(f"{m[1].upper()}: there are no transactions; each statement publishes a snapshot of its own")
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+        kind = plan.getClass().getSimpleName()
+        if kind == "InsertIntoStatement" and not plan.overwrite():
+            name = self._named(plan.table())
+            columns = _list(plan.userSpecifiedCols())
+            return self._changed(name, self._table(name).insert(self._rows(plan.query()), columns or None))
+        if kind == "UpdateTable":
+            name, alias = self._named(plan.table()), _alias(plan.table())
+            sets = {_list(a.key().nameParts())[-1]: self._column(a.value()) for a in _list(plan.assignments())}
+            where = self._column(plan.condition().get()) if plan.condition().isDefined() else F.lit(True)
+            return self._changed(name, self._table(name).update(where, sets, alias or name))
+        if kind == "DeleteFromTable":
+            name, alias = self._named(plan.table()), _alias(plan.table())
+            return self._changed(name, self._table(name).delete(self._column(plan.condition()), alias or name))
+        if kind == "DropTable" and (name := self._named(plan.child(), must=False)) in self.tables:
+            self.spark.catalog.dropTempView(name)
+            self.tables.pop(name).destroy()
             return self._nothing()
+        if kind == "CreateIndex":
+            name = self._named(plan.table())
+            self._table(name).sort_by(*[_list(c._1().name())[-1] for c in _list(plan.columns())])
+            self._show(name)
+            return self._nothing()
+        if refused := [k for k in _kinds(plan) if k.startswith(REFUSED)]:
+            raise ValueError(f"{refused[0]} is not supported here, or its table is unknown")
         return self.spark.sql(statement.strip().rstrip(";"))
 
     def _create(self, name: str, columns: str) -> DataFrame:
@@ -54,11 +74,27 @@ class SqlEngine:
         self._show(name)
         return self._nothing()
 
-    def _table(self, name: str) -> SnapshotTable:
-        if name not in self.tables:
+    def _named(self, relation, must: bool = True) -> str:
+        """The table that a parsed relation names."""
+        while (kind := relation.getClass().getSimpleName()) == "SubqueryAlias":
+            relation = relation.child()
+        if kind not in ("UnresolvedRelation", "UnresolvedTable", "UnresolvedIdentifier"):
+            raise ValueError(f"{kind} is no table's name")
+        name = ".".join(_list(relation.nameParts() if kind == "UnresolvedIdentifier" else relation.multipartIdentifier())).lower()
+        if must and name not in self.tables:
             raise ValueError(f"table {name} not found")
+        return name
+
+    def _table(self, name: str) -> SnapshotTable:
         return self.tables[name]
 
+    def _rows(self, plan) -> DataFrame:
+        made = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan)
+        return DataFrame(made, self.spark)
+
+    def _column(self, expression) -> Column:
+        return Column(self.spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
     def _show(self, name: str) -> None:
         self.tables[name].read().createOrReplaceTempView(name)
 
@@ -70,15 +106,15 @@ class SqlEngine:
         return self.spark.createDataFrame([], "cnt bigint")
 
 
-def _commas(text: str) -> list[str]:
-    """Split at commas outside quotes and brackets."""
-    parts, depth, quoted, start = [], 0, False, 0
-    for i, c in enumerate(text):
-        if c == "'":
-            quoted = not quoted
-        elif not quoted and c in "()":
-            depth += 1 if c == "(" else -1
-        elif not quoted and not depth and c == ",":
-            parts.append(text[start:i])
-            start = i + 1
-    return [*parts, text[start:]]
+def _alias(relation) -> str | None:
+    return relation.alias() if relation.getClass().getSimpleName() == "SubqueryAlias" else None
+
+
+def _list(seq) -> list:
+    """A Scala sequence as a list."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kinds(plan) -> list[str]:
+    """Class names of a parsed plan, from the top."""
+    return [plan.getClass().getSimpleName(), *[k for c in _list(plan.children()) for k in _kinds(c)]]

@@ -65,6 +65,15 @@ def test_rle(spark):
     assert rle_encode(df.withColumn("g", F.lit(1)), "v", "i", ["g"]).count() == 4
 
 
+def test_long_runs_are_decoded_in_chunks(spark, monkeypatch):
+    from tessera.functions import encoding
+
+    monkeypatch.setattr(encoding, "CHUNK", 7)
+    runs = spark.createDataFrame([(0, "a", 20), (20, "b", 7), (27, None, 1), (28, "x", 0)], "run_start bigint, val string, cnt bigint")
+    back = rows(rle_decode(runs).select((F.col("run_start") + F.col("place")).alias("n"), "val"))
+    assert sorted(back) == [(n, "a" if n < 20 else "b" if n < 27 else None) for n in range(28)]
+
+
 def test_delta(spark):
     df = spark.createDataFrame(list(enumerate([5, 5, 5, 7, 7, 5])), "i int, v int")
     out = delta_encode(df, "v", "i")
@@ -98,6 +107,14 @@ def test_dictionary(spark):
     assert rows(dictionary_encode(df, "v").select("i", "code")) == [(0, 1), (1, 0), (2, 1), (3, None)]
 
 
+def test_against(spark, monkeypatch):
+    a, b = spark.range(50).select(F.col("id").alias("x")), spark.range(30).select(F.col("id").alias("y"))
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+        assert rows(joins.against(a, b, block=7)) == rows(a.crossJoin(b))
+        assert joins.against(a, b.where("false")).count() == 0
+
+
 def test_stats(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 10).alias("v"))
     s = column_stats(df, "v", exact=True).first()
@@ -138,6 +155,55 @@ def test_snapshots(spark, tmp_path):
     assert t.vacuum() == [1, 2, 3] and t.versions() == [4]
 
 
+def test_two_writers(spark, tmp_path):
+    """Both read version 1; one publishes, the other fails whole and can try again."""
+    table = SnapshotTable.create(spark, f"{tmp_path}/t", spark.createDataFrame([(1, "a")], "id int, name string"))
+    other = SnapshotTable(spark, f"{tmp_path}/t")
+    late = other._manifest()
+    assert table.insert(spark.createDataFrame([(2, "b")], "id int, name string")) == 1
+    other._manifest = lambda version=None: late
+    with pytest.raises(RuntimeError):
+        other.insert(spark.createDataFrame([(3, "c")], "id int, name string"))
+    del other._manifest
+    assert rows(table.read()) == [(1, "a"), (2, "b")] and other.insert(spark.createDataFrame([(3, "c")], "id int, name string")) == 1
+    assert rows(table.read(2)) == [(1, "a"), (2, "b")] and rows(table.read()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert table.vacuum() == [1, 2] and rows(table.read()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_sorted_table(spark, tmp_path):
+    """Rows stay sorted through changes, which are counted once."""
+    table = SnapshotTable.create(spark, f"{tmp_path}/t", spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(0).alias("v")))
+    table.sort_by("K")
+    assert table.insert(spark.createDataFrame([(5, 1), (-1, 1)], "k bigint, v int")) == 2
+    assert table.update(F.col("k") < 10, {"V": 2}) == 12
+    assert table.delete(F.col("k") >= 500) == 500
+    assert table.read().count() == 502 and table.read().where("v = 2").count() == 12
+    files = table.read().select(F.input_file_name().alias("f"), "k").groupBy("f").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("a").collect()
+    assert all(x.b <= y.a for x, y in zip(files, files[1:]))
+    with pytest.raises(ValueError):
+        table.sort_by("nope")
+
+
+def test_engine(spark, tmp_path):
+    db = SqlEngine(spark, f"{tmp_path}/db")
+    for statement in ("CREATE TABLE Pets (id INT, name VARCHAR)", "INSERT INTO pets VALUES (1, 'a'), (2, 'b')", "insert into PETS (NAME, id) values ('c', 3)", "INSERT INTO Pets (id) SELECT 4", "UPDATE pets SET name = 'x WHERE y' WHERE id = 1", "UPDATE pets p SET p.name = upper(p.name) WHERE p.id IN (SELECT id FROM pets WHERE id = 2)"):
+        db.execute(statement)
+    want = [(1, "x WHERE y"), (2, "B"), (3, "c"), (4, None)]
+    assert rows(db.execute("SELECT * FROM pets;")) == want
+    again = SqlEngine(spark, f"{tmp_path}/db")  # tables outlive the engine
+    assert rows(again.execute("SELECT * FROM PETS")) == want
+    refused = ("CREATE TABLE pets (id INT)", "INSERT INTO nope VALUES (1)", "INSERT INTO pets VALUES (1)", "INSERT INTO pets (id, nope) VALUES (1, 2)", "INSERT INTO pets (id, ID) VALUES (1, 2)", "INSERT OVERWRITE pets VALUES (1, 'x')", "TRUNCATE TABLE pets", "BEGIN", "COMMIT", "ROLLBACK", "UPDATE pets SET nope = 1", "DELETE FROM nope", "DROP TABLE nope", "CREATE INDEX i ON pets (nope)", "WITH q AS (SELECT 7 AS id, 'w' AS name) INSERT INTO pets SELECT * FROM q")
+    for statement in refused:
+        with pytest.raises(Exception):  # noqa: B017
+            again.execute(statement)
+    assert rows(again.execute("SELECT * FROM pets")) == want and again.tables["pets"].versions() == db.tables["pets"].versions()
+    assert [r.cnt for r in again.execute("DELETE FROM pets WHERE name IS NULL OR id IN (2, 3)").collect()] == [3]
+    assert [r.cnt for r in again.execute("DELETE FROM pets").collect()] == [1] and again.execute("SELECT * FROM pets").count() == 0
+    assert [r.cnt for r in again.execute("UPDATE pets SET id = 1").collect()] == [0]
+    again.execute("DROP TABLE Pets")
+    assert not SqlEngine(spark, f"{tmp_path}/db").tables
+
+
 LOGIC = """
 # users
 statement ok
