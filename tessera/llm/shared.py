@@ -1,92 +1,23 @@
-"""What the operators share: the cluster's shared folder, Arrow batches in slices, rows grouped from a sorted stream."""
+"""What the operators share: tables in the shared folder, Arrow batches in slices, rows grouped from a sorted stream."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one call of a kernel takes, so that its temporaries stay small whatever the batch.
-SLICE_BYTES = 2_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
-    return "file:///tmp/checkpoints"
-
-
-#: Spark then deletes a step's shuffle files at its end, not once the driver's collector happens to find them unreachable.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Tables:
-    """The tables that one run of an operator or stage writes on its way: deleted at its end, but for those it keeps."""
-
-    def __init__(self, spark: SparkSession, outer: Tables | None):
-        self.spark, self.outer, self.paths = spark, outer, []
-
-    def keep(self, *tables: DataFrame) -> None:
-        """These outlast the run; a run around this one, if there is any, owns them from here on."""
-        for t in tables:
-            self.paths.remove(t._tessera_path)
-            if self.outer is not None:
-                self.outer.paths.append(t._tessera_path)
-
-    def drop_later(self, df: DataFrame) -> None:
-        """Delete a table that save() wrote before this run, too."""
-        if path := getattr(df, "_tessera_path", None):
-            self.paths.append(path)
+from tessera.sources.scratch import drop, kept_tables, save, shared_folder
 
+__all__ = ["documents", "drop", "fixed", "groups", "kept_tables", "map_arrow", "record", "save", "shared_folder", "slices", "small", "trim"]
 
-_run: ContextVar[Tables | None] = ContextVar("run", default=None)
-
-
-@contextlib.contextmanager
-def kept_tables(spark: SparkSession) -> Iterator[Tables]:
-    """A run: what save() writes inside is deleted at its end unless it is kept. Runs of several threads don't meet."""
-    tables = Tables(spark, _run.get())
-    token = _run.set(tables)
-    try:
-        yield tables
-    finally:
-        _run.reset(token)
-        for path in tables.paths:
-            remove(spark, path)
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: cuts the lineage, and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    if (run := _run.get()) is not None:
-        run.paths.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what save() wrote; for tables that no later plan reads."""
-    remove(df.sparkSession, getattr(df, "_tessera_path", None))
+#: Bytes of text that one call of a kernel takes, so that its temporaries stay small whatever the batch.
+SLICE_BYTES = 2_000_000
 
 
 #: Bytes of a saved table that may be sent to every task; in memory it takes several times that.
@@ -101,12 +32,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def remove(spark: SparkSession, path: str | None) -> None:
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint), text (NULL as empty) and further named columns, whatever else the table holds."""
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
