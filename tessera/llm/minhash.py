@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import documents, fixed, kept_tables, map_arrow, save, small
+from tessera.llm.shared import beside, documents, fixed, kept_tables, map_arrow, save, small
 from tessera.llm.similar import BLOCK_ELEMENTS, spanning_links, verified_links
 from tessera.llm.words import U, Words, mix, words
 
@@ -225,7 +225,7 @@ def _classified(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame,
         sets = shingle_sets(words(part.column("text"), lower=True), shingle)
         return {"cluster": part.column("cluster"), "id": part.column("node"), "n": [len(s) for s in sets], "elements": [s.tobytes() for s in sets]}
 
-    texts = docs.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content"))).select("node", "cluster", "text")
+    texts = beside(docs, wanted, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content"))).select("node", "cluster", "text")
     if not wanted.where("copies > 1").isEmpty():  # rows that repeat id and text
         texts = texts.dropDuplicates(["node"])
     rows = map_arrow(texts, elements, "cluster bigint, id bigint, n bigint, elements binary")
@@ -262,8 +262,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     again = some.groupBy("doc_id", "content").count().where("count > 1").select("doc_id", "content")
     gone, again = (save(x.select(F.col("doc_id").alias("__gone"), F.col("content").alias("__content")), n) for x, n in ((gone, "gone"), (again, "again")))
     same = (F.col("doc_id").cast("bigint") == F.col("__gone")) & (content() == F.col("__content"))
-    rest = docs.join(gone, same, "left_anti")
+    rest = beside(docs, gone, same, "left_anti")
     if again.isEmpty():
         return rest
-    once = rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(again, same, "left_anti").unionByName(once)
+    once = beside(rest, again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return beside(rest, again, same, "left_anti").unionByName(once)

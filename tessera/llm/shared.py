@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.scratch import drop, kept_tables, save, shared_folder
 
-__all__ = ["documents", "drop", "fixed", "groups", "kept_tables", "map_arrow", "record", "save", "shared_folder", "slices", "small", "trim"]
+__all__ = ["beside", "documents", "drop", "fixed", "groups", "kept_tables", "map_arrow", "record", "save", "shared_folder", "slices", "small", "trim"]
 
 #: Bytes of text that one call of a kernel takes, so that its temporaries stay small whatever the batch.
 SLICE_BYTES = 2_000_000
@@ -32,6 +32,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def beside(texts: DataFrame, table: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """texts joined with a table that grows like them, by shuffles of both at every size: a small input takes no other way than a large one."""
+    return texts.join(table.hint("merge"), on, how)
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id (bigint), text (NULL as empty) and further named columns, whatever else the table holds."""
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.minhash import content
-from tessera.llm.shared import documents, drop, fixed, groups, kept_tables, map_arrow, save, slices
+from tessera.llm.shared import beside, documents, drop, fixed, groups, kept_tables, map_arrow, save, slices
 from tessera.llm.similar import BLOCK_ELEMENTS, verified_links
 from tessera.llm.words import U, Words, mix, words
 
@@ -173,7 +173,7 @@ def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             "at": begin, "stop": stop, "hashes": pa.array(lists, pa.list_(pa.int64())),
         }
 
-    texts = docs.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content"))).select("doc_id", "content", "text", "places")
+    texts = beside(docs, wanted, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content"))).select("doc_id", "content", "text", "places")
     return map_arrow(texts, run, FOUND)
 
 
@@ -349,7 +349,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     with kept_tables(docs.sparkSession) as tables:
         marked = labelled(docs)
         tables.keep(marked)
-    texts = docs.join(marked, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content")))
+    texts = beside(docs, marked, (F.col("doc_id") == F.col("id")) & (F.col("content") == F.col("id_content")))
 
     def run(part: pa.RecordBatch) -> dict:
         w = words(part.column("text"))
@@ -405,7 +405,7 @@ def remove_passages(docs: DataFrame, text_column: str = "text", length_column: s
 
     # the rows travel as one column, so that no name of theirs can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("bigint").alias("doc"), content(text_column).alias("content"))
-    out = rows.join(spans, (F.col("doc") == F.col("id")) & (F.col("content") == F.col("id_content")), "left").select("row", "cuts").mapInArrow(run, schema)
+    out = beside(rows, spans, (F.col("doc") == F.col("id")) & (F.col("content") == F.col("id_content")), "left").select("row", "cuts").mapInArrow(run, schema)
     if length_column in names:
         out = out.withColumn(length_column, F.char_length(text_column).cast(schema[length_column].dataType))
     return out
