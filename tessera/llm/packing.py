@@ -1,11 +1,13 @@
 """Lexical retrieval packing: BM25 neighbours of a seed fill its window.
 
-Each task tokenises its texts and packs them shard by shard. A shard is a bounded run of documents with an inverted
-index over their token ids. A seed starts a window; BM25 with the seed as query ranks the shard's unused documents,
-and the best of them fill the window in turn. The document that crosses the window's end is cut there and its rest
-opens the next window. So every window is full but the last one of a task, which is cut at powers of two: it needs no
-padding. Windows never cross tasks, and a task that runs again gives the same windows under the same numbers, because
-its number and the order of its rows are those of the file scan.
+Documents are dealt out by what they say: each gets the minima of KEYS hashes over its longer words, and the order by
+these minima, cut into ranges, brings documents that share words side by side, wherever in the table they stand. Each
+task tokenises its range and packs it shard by shard. A shard is a bounded run of that order with an inverted index over
+token ids. A seed starts a window; BM25 with the seed as query ranks the shard's unused documents, and the best of them
+fill the window in turn. The document that crosses the window's end is cut there and its rest opens the next window. So
+every window is full but the last one of a task, which is cut at powers of two: it needs no padding. Windows never cross
+tasks. The order is total but for rows that are equal, and ranges are cut from a written table, so a task that runs
+again gives the same windows under the same numbers.
 
 NULL and empty texts are documents of the end token alone. Repeated rows are packed each; an empty table gives none.
 """
@@ -24,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tessera.llm.shared import documents, slices, trim
+from tessera.llm.shared import documents, fixed, kept_tables, map_arrow, save, slices, trim
 from tessera.llm.vocabularies import tokenizer
+from tessera.llm.words import mix
 from tessera.llm.words import words as split
 
 WINDOW, END = 4096, 2
@@ -41,6 +44,11 @@ REMEMBERED = 1_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+#: Hashes whose minima order the documents; bytes of the words that count, if a text has such.
+KEYS, LONG_WORD = 3, 5
+FLIPS = fixed(41, KEYS)
+
+
 class WordIds:
     """Token ids of whole texts, remembered by word.
 
@@ -260,6 +268,36 @@ class Packer:
                     break
 
 
+def lexical_keys(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the least of each of KEYS hashes over its words of LONG_WORD bytes or more, or over all if it has none; 0 without words."""
+    w = split(texts, lower=True)
+    long = w.ends - w.starts >= LONG_WORD
+    some = np.concatenate([[0], np.cumsum(long)])[w.first]
+    counts = np.repeat(np.diff(some), np.diff(w.first))
+    used = np.flatnonzero(long | (counts == 0))
+    owner = np.searchsorted(w.first, used, "right") - 1
+    full, first = np.unique(owner, return_index=True)
+    out = []
+    for flip in FLIPS:
+        key = np.zeros(len(texts), np.int64)
+        if len(full):
+            key[full] = np.minimum.reduceat(mix(w.hashes[used] ^ flip), first).view(np.int64)
+        out.append(key)
+    return out
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """doc_id and text in ranges of the order by lexical keys; of several ranges each is a partition."""
+    names = [f"k{i}" for i in range(KEYS)]
+
+    def run(part: pa.RecordBatch) -> dict:
+        return {"doc_id": part.column("doc_id"), "text": part.column("text")} | dict(zip(names, lexical_keys(part.column("text")), strict=True))
+
+    keyed = save(map_arrow(documents(docs), run, "doc_id bigint, text string, " + ", ".join(f"{n} bigint" for n in names)), "keyed")
+    order = [*names, "doc_id"]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+
+
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """Pieces of all documents in windows; see SCHEMA. sequence_id: task in the high half, window in the low."""
 
@@ -289,4 +327,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
         yield emit()
         trim()
 
-    return documents(docs).mapInArrow(run, SCHEMA)
+    spark = docs.sparkSession
+    with kept_tables(spark) as tables:
+        pieces = save(dealt(docs).mapInArrow(run, SCHEMA), "pieces")
+        tables.keep(pieces)
+    return pieces

@@ -207,3 +207,23 @@ def test_neighbours_reach_over_a_thousand_rows(spark):
     texts[900] = texts[0] + " tail"
     rows = packing.pack(frame(spark, texts).coalesce(1)).where("doc_id IN (0, 900)").collect()
     assert {r.sequence_id for r in rows if r.doc_id == 0} & {r.sequence_id for r in rows if r.doc_id == 900}
+
+
+def test_neighbours_come_from_all_of_the_table(spark):
+    """Texts that share words meet in one window wherever they stand: near copies at both ends of many files."""
+    rnd = random.Random(17)
+    pools = [["".join(rnd.choices("abcdefghijklmnoprstuvwy", k=7)) for _ in range(60)] for _ in range(12)]
+    texts = {i: " ".join(rnd.choices(pools[i % 12], k=120)) for i in range(600)}
+    df = frame(spark, texts).repartitionByRange(8, "doc_id")
+    rows = packing.pack(df).collect()
+    windows = defaultdict(set)
+    for r in rows:
+        windows[r.sequence_id].add(r.doc_id % 12)
+    assert sum(map(len, windows.values())) < 2.5 * len(windows)
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if not r.start)
+
+
+def test_lexical_keys():
+    keys = packing.lexical_keys(pa.array([None, "", "a b", "a b c", "longer words here", "here words longer longer a"]))
+    assert [len(k) for k in keys] == [6] * packing.KEYS
+    assert all(k[0] == k[1] == 0 and k[4] == k[5] != 0 and k[2] != 0 for k in keys)
