@@ -27,11 +27,9 @@ from pyspark.sql import DataFrame
 from tessera.llm.shared import documents, map_arrow
 from tessera.llm.vocabularies import SPACE, pieces, sentencepiece_model
 
-#: Parts of a text that no piece crosses; the second if no piece joins a line end to anything.
-PART, LINE_PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Stands for a mark of the text itself while parts are cut; a private code point is escaped the same way.
 LITERAL = "\ue000"
-#: Parts and weights that a process keeps; beyond it the memory is emptied, results stay the same.
+#: Parts that a process keeps in each of two generations, and weights; beyond it the older ones go, results stay the same.
 REMEMBERED = 400_000
 
 
@@ -48,9 +46,10 @@ class Transducer:
             raise ValueError("a piece holds a word mark behind another character")
         if inner and max(self.score[p] for p in inner) >= min((x for p, x in self.score.items() if len(p) > 1 and p not in inner), default=0):
             raise ValueError("marks join each other before they join words")
-        self.cut = PART if any("\n" in p and len(p) > 1 for p in self.arcs) else LINE_PART
+        self.cut = self.boundaries()
         self.prefixes = {p[:k] for p in self.arcs for k in range(1, len(p) + 1)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.weights: dict[tuple[str, str], bool] = {}
         self.spelled = [p.encode().replace(SPACE.encode(), b" ") for p in self.pieces]
         for b, i in self.bytes.items():
@@ -59,6 +58,14 @@ class Transducer:
             if model.is_control(i):
                 self.spelled[i] = b""
 
+    def boundaries(self) -> re.Pattern:
+        """Parts of a text that no piece crosses: they end before marks, and, where no piece joins them, around line ends and behind the letters before a sign."""
+        line = "" if any("\n" in p and len(p) > 1 for p in self.arcs) else "\n"
+        joined = {y for p in self.arcs for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+        letters = f"{SPACE}*[^\\W\\d_{SPACE}]+(?=[{signs}])|" if signs else ""
+        return re.compile(f"{letters}{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n")
+
     def merged(self, letters: str) -> list[str]:
         """What the model's merges leave of the letters: again and again the neighbours that make the piece of highest score, the first of equals."""
         n = len(letters)
@@ -144,13 +151,15 @@ class Transducer:
         return np.array(self.spell(arcs), "<u4").tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        """Remember the ids of new parts."""
+        """Remember the ids of new parts; those not met for long are forgotten."""
         new = parts.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
             new = parts
+        known, older = self.known, self.older
         for p in new:
-            self.known[p] = self.part_ids(p)
+            ids = older.get(p)
+            known[p] = self.part_ids(p) if ids is None else ids
 
     def parts(self, text: str) -> list[str]:
         """The normalised text, cut before each run of marks."""
