@@ -53,8 +53,36 @@ rates AS (SELECT host, (k + p * (1 / share - 1)) / (n + 1 / share - 1) AS rate F
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate <= 0.5 AS kept, ROUND(rate, 6) AS host_rate
 FROM g JOIN rates ON g.host IS NOT DISTINCT FROM rates.host"""
 
+#: Runs of 50 words that two documents hold, and lines of 50 words or more whose 5-word shingle sets are similar, by all pairs.
+SUBSTRINGS = f"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '{WORD}') AS w,
+      regexp_extract_all(COALESCE(text, ''), '[\\x20\\x09-\\x0D]+') AS g FROM documents),
+parts AS (SELECT id, UNNEST(range(1, LEN(w) + 1)) AS i, UNNEST(w) AS word,
+      UNNEST(list_transform(range(1, LEN(w) + 1), lambda i: COALESCE(g[i - 1 + CASE WHEN regexp_matches(t, '^[\\x20\\x09-\\x0D]') THEN 1 ELSE 0 END], ''))) AS gap FROM d WHERE LEN(w) > 0),
+placed AS (SELECT id, i, word, SUM(LENGTH(gap) + LENGTH(word)) OVER (PARTITION BY id ORDER BY i) AS e,
+      SUM(LENGTH(gap) - LENGTH(replace(gap, chr(10), ''))) OVER (PARTITION BY id ORDER BY i) AS line FROM parts),
+runs AS (SELECT id, UNNEST(range(1, LEN(w) - 48)) AS i, UNNEST(list_transform(range(1, LEN(w) - 48), lambda i: array_to_string(w[i:i + 49], ' '))) AS run FROM d WHERE LEN(w) >= 50),
+held AS (SELECT id, i, MIN(id) OVER (PARTITION BY run) AS source, MAX(id) OVER (PARTITION BY run) AS last FROM runs),
+lines AS (SELECT id, line, MIN(i) AS i, MAX(i) AS j, list(word ORDER BY i) AS w FROM placed GROUP BY id, line HAVING COUNT(*) >= 50),
+sets AS (SELECT id, line, i, j, list_sort(list_distinct(list_transform(range(1, LEN(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')))) AS s FROM lines),
+names AS (SELECT s, ROW_NUMBER() OVER () AS n FROM (SELECT DISTINCT s FROM sets) x),
+shingles AS (SELECT n, LEN(s) AS size, UNNEST(s) AS x FROM names),
+pairs AS (SELECT a.n AS a, b.n AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.n <> b.n GROUP BY a.n, b.n, a.size, b.size HAVING 100 * COUNT(*) >= 80 * (a.size + b.size - COUNT(*))),
+spread AS (SELECT n AS id, n AS r FROM names WHERE n IN (SELECT a FROM pairs) UNION SELECT pairs.b, spread.r FROM spread JOIN pairs ON pairs.a = spread.id),
+class AS (SELECT id AS n, MIN(r) AS class FROM spread GROUP BY id),
+members AS (SELECT sets.id, i, j, MIN(sets.id) OVER (PARTITION BY class) AS source, MAX(sets.id) OVER (PARTITION BY class) AS last FROM sets JOIN names USING (s) JOIN class USING (n)),
+spans AS (SELECT id, i, i + 49 AS j, source, id = source AS kept FROM held WHERE source < last UNION SELECT id, i, j, source, id = source FROM members WHERE source < last),
+fresh AS (SELECT *, CASE WHEN i > COALESCE(MAX(j) OVER (PARTITION BY id, kept ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 THEN 1 ELSE 0 END AS begins FROM spans),
+islands AS (SELECT *, SUM(begins) OVER (PARTITION BY id, kept ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS island FROM fresh),
+merged AS (SELECT id, kept, MIN(i) AS i, MAX(j) AS j, MIN(source) AS source_doc FROM islands GROUP BY id, kept, island),
+edges AS (SELECT DISTINCT id AS a, source AS b FROM spans WHERE NOT kept UNION SELECT DISTINCT source, id FROM spans WHERE NOT kept),
+nodes AS (SELECT DISTINCT a AS id FROM edges), {REACH}
+SELECT m.id AS doc_id, CAST(p.e - LENGTH(p.word) AS BIGINT) AS start, CAST(q.e AS BIGINT) AS "end", kept, source_doc, COALESCE(component_id, m.id) AS component_id
+FROM merged m JOIN placed p ON p.id = m.id AND p.i = m.i JOIN placed q ON q.id = m.id AND q.i = m.j LEFT JOIN least ON least.id = m.id"""
+
 ORACLE = {k: " ".join(v.split()) for k, v in {
     "op3_embedding_near_dedup": EMBEDDINGS,
     "op7_quality_rules": QUALITY,
     "op8_minhash_near_dedup": MINHASH,
+    "op9_substring_dedup": SUBSTRINGS,
 }.items()}
