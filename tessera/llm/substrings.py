@@ -41,7 +41,7 @@ BANDS = next(b for b in range(1, 99) if 1 - (1 - (PERCENT / 100) ** ROWS) ** b >
 FLIPS, FACTORS = fixed(31, ROWS * BANDS), fixed(32, ROWS * BANDS)
 #: A window has one band: copies of a passage hold equal windows, which share it.
 CUT_ROWS = 4
-#: Windows of one key that one task takes; more are matched run by run through exchanges.
+#: Windows of one key that are matched at once; more are dealt out in parts, which exchange their distinct runs.
 KEY_ROWS = 16_384
 
 
@@ -138,11 +138,11 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 WINDOW, LINE, LINE_SET = 0, 1, 2
-FOUND = "kind int, key bigint, large boolean, doc_id bigint, content bigint, at int, stop int, hashes array<bigint>"
+FOUND = "kind int, key bigint, parts int, doc_id bigint, content bigint, at int, stop int, hashes array<bigint>"
 
 
 def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: id, id_content, places (array of at, kind, key, large). For windows the first of the runs whose window
+    """wanted: id, id_content, places (array of at, kind, key, parts). For windows the first of the runs whose window
     they are, and the hashes of these runs, which start at one word after the other; for lines their end and, for
     LINE_SET, their set."""
 
@@ -169,7 +169,7 @@ def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 stop[i] = ends[x] - x + place[i]
                 lists[i] = line_set(shingles, x, ends[x]).view(np.int64) if kind[i] == LINE_SET else None
         return {
-            "kind": kind, "key": key, "large": inner.field("large"), "doc_id": np.asarray(part.column("doc_id"))[text], "content": np.asarray(part.column("content"))[text],
+            "kind": kind, "key": key, "parts": inner.field("parts"), "doc_id": np.asarray(part.column("doc_id"))[text], "content": np.asarray(part.column("content"))[text],
             "at": begin, "stop": stop, "hashes": pa.array(lists, pa.list_(pa.int64())),
         }
 
@@ -180,50 +180,66 @@ def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 SPANS = "doc_id bigint, content bigint, start int, end int, source_doc bigint, source_content bigint"
 
 
-def shared_runs(docs: np.ndarray, contents: np.ndarray, at: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-    """The columns of SPANS: for each window and each document that is the first to hold some of its runs, the words
-    that these runs cover, if two documents hold them. All windows that hold a run of these must be given."""
-    n = len(docs)
+def ranks(docs: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each row's document, and a row of each rank."""
     order = np.lexsort((contents, docs))
-    new = np.ones(n, bool)
+    new = np.ones(len(docs), bool)
     new[1:] = (docs[order][1:] != docs[order][:-1]) | (contents[order][1:] != contents[order][:-1])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(len(docs), np.int64)
     rank[order] = np.cumsum(new) - 1
-    of_rank = order[new]
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    place = np.arange(len(hashes)) - offsets[:-1][row]
+    return rank, order[new]
+
+
+def extremes(rank: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order that sorts the runs by hash, where each hash begins in it, and the least and most rank of its rows."""
     by = np.argsort(hashes)
     first = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])) if len(by) else by
-    if not len(first):
-        return [np.zeros(0, np.int64)] * 6
-    ranks = rank[row[by]]
-    least, most = np.minimum.reduceat(ranks, first), np.maximum.reduceat(ranks, first)
-    sizes = np.diff(np.concatenate([first, [len(by)]]))
-    source = np.empty(len(by), np.int64)
-    source[by] = np.repeat(np.where(least < most, least, -1), sizes)
-    hit = source >= 0
-    pair, place = row[hit] * (n + 1) + source[hit], place[hit]
+    own = rank[row[by]]
+    return by, first, np.minimum.reduceat(own, first) if len(by) else own, np.maximum.reduceat(own, first) if len(by) else own
+
+
+def covered(docs: np.ndarray, contents: np.ndarray, at: np.ndarray, row: np.ndarray, place: np.ndarray, source: np.ndarray, source_docs: np.ndarray, source_contents: np.ndarray) -> list[np.ndarray]:
+    """The columns of SPANS from shared runs (row, place in its window, number of their source; by row and place): for
+    each window and source the words that the runs cover."""
+    pair = row * (len(source_docs) + 1) + source
     by = np.argsort(pair, kind="stable")
     pair, place = pair[by], place[by]
-    if not len(pair):
-        return [np.zeros(0, np.int64)] * 6
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    last = np.concatenate([first[1:], [len(pair)]]) - 1
-    own, of = pair[first] // (n + 1), of_rank[pair[first] % (n + 1)]
-    return [docs[own], contents[own], at[own] + place[first], at[own] + place[last] + PASSAGE, docs[of], contents[of]]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else by
+    last = np.concatenate([first[1:], [len(pair)]]).astype(np.int64) - 1 if len(pair) else by
+    own, of = pair[first] // (len(source_docs) + 1), pair[first] % (len(source_docs) + 1)
+    return [docs[own], contents[own], at[own] + place[first], at[own] + place[last] + PASSAGE, source_docs[of], source_contents[of]]
+
+
+def flattened(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """doc_id, content and at of each window; window, place and hash of each run."""
+    lists = table.column("hashes").combine_chunks()
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    row = np.repeat(np.arange(table.num_rows), np.diff(offsets))
+    doc, text, at = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc_id", "content", "at"))
+    return doc, text, at, row, np.arange(len(row)) - (offsets[:-1] - offsets[0])[row], np.asarray(lists.flatten())
+
+
+def shared_runs(table: pa.Table) -> pa.RecordBatch:
+    """SPANS of runs that two documents hold. All windows that hold a run of these must be given."""
+    doc, text, at, row, place, hashes = flattened(table)
+    rank, of_rank = ranks(doc, text)
+    by, first, least, most = extremes(rank, row, hashes)
+    source = np.empty(len(by), np.int64)
+    source[by] = np.repeat(np.where(least < most, least, -1), np.diff(np.concatenate([first, [len(by)]]).astype(np.int64)))
+    hit = source >= 0
+    return record_of(covered(doc, text, at, row[hit], place[hit], source[hit], doc[of_rank], text[of_rank]), SPANS)
+
+
+def record_of(columns: list[np.ndarray], ddl: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+    fields = [c.split() for c in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def of_windows(sure: DataFrame) -> DataFrame:
     """SPANS of confirmed windows."""
     windows = sure.where(F.col("kind") == WINDOW)
 
-    def columns(table: pa.Table) -> pa.RecordBatch:
-        lists = table.column("hashes").combine_chunks()
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        doc, text, at = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "content", "at"))
-        made = shared_runs(doc, text, at.astype(np.int64), offsets - offsets[0], np.asarray(lists.flatten()))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in SPANS.split(", ")])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -232,24 +248,58 @@ def of_windows(sure: DataFrame) -> DataFrame:
                 continue
             a = int(np.searchsorted(keys, keys[-1]))  # keys rise; the last one may go on
             if held and (a or held[-1].column("key")[0].as_py() != keys[0]):
-                yield columns(pa.Table.from_batches([*held, batch.slice(0, a)]))
+                yield shared_runs(pa.Table.from_batches([*held, batch.slice(0, a)]))
                 held = []
             elif a:
-                yield columns(pa.Table.from_batches([batch.slice(0, a)]))
+                yield shared_runs(pa.Table.from_batches([batch.slice(0, a)]))
             held.append(batch.slice(a))
         if held:
-            yield columns(pa.Table.from_batches(held))
+            yield shared_runs(pa.Table.from_batches(held))
 
-    few = windows.where("NOT large").select("key", "doc_id", "content", "at", "hashes")
+    few = windows.where("parts = 1").select("key", "doc_id", "content", "at", "hashes")
     spans = few.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
-    many = windows.where("large")
-    if many.isEmpty():
-        return spans
-    runs = many.select("key", "doc_id", "content", "at", F.posexplode("hashes").alias("place", "hash"))
-    ends = runs.groupBy("hash").agg(F.min(F.struct("doc_id", "content")).alias("source"), F.max(F.struct("doc_id", "content")).alias("last"))
-    ends = save(ends.where("source < last").select("hash", "source"), "runs")
-    covered = runs.join(ends, "hash").groupBy("key", "doc_id", "content", "at", "source").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    return spans.unionByName(covered.select("doc_id", "content", F.expr("at + low").alias("start"), F.expr(f"at + high + {PASSAGE}").alias("end"), F.col("source.doc_id").alias("source_doc"), F.col("source.content").alias("source_content")))
+    part = F.pmod(F.xxhash64("doc_id", "content"), F.col("parts")).cast("bigint").alias("part")
+    many = windows.where("parts > 1").select("key", part, "doc_id", "content", "at", "hashes")
+    return spans if many.isEmpty() else spans.unionByName(of_hot_windows(many))
+
+
+ENDS = "key bigint, part bigint, hash bigint, low_doc bigint, low_content bigint, high_doc bigint, high_content bigint"
+
+
+def of_hot_windows(many: DataFrame) -> DataFrame:
+    """SPANS of windows whose keys have many rows, dealt out in parts: each part tells its distinct runs with their first
+    and last document, and is told the sources of those that two documents hold."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ("key", "part")):
+            doc, text, _, row, _, hashes = flattened(group)
+            rank, of_rank = ranks(doc, text)
+            by, first, least, most = extremes(rank, row, hashes)
+            low, high = of_rank[least], of_rank[most]
+            key, part = (np.full(len(first), group.column(c)[0].as_py()) for c in ("key", "part"))
+            yield record_of([key, part, hashes[by][first], doc[low], text[low], doc[high], text[high]], ENDS)
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ("key", "part")):
+            told = int(np.searchsorted(np.asarray(group.column("kind").combine_chunks()), 1))  # sources come first
+            if not told:
+                continue
+            known, source_docs, source_contents = (np.asarray(group.column(c).combine_chunks())[:told] for c in ("hash", "doc_id", "content"))
+            source, of_source = ranks(source_docs, source_contents)
+            order = np.argsort(known)
+            doc, text, at, row, place, hashes = flattened(group.slice(told))
+            to = order[np.minimum(np.searchsorted(known[order], hashes), told - 1)]
+            hit = known[to] == hashes
+            yield record_of(covered(doc, text, at, row[hit], place[hit], source[to[hit]], source_docs[of_source], source_contents[of_source]), SPANS)
+
+    runs = save(many.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(distinct, ENDS), "runs")
+    ends = runs.groupBy("hash").agg(F.min(F.struct("low_doc", "low_content")).alias("source"), F.max(F.struct("high_doc", "high_content")).alias("last"))
+    shared = (F.col("source.low_doc") != F.col("last.high_doc")) | (F.col("source.low_content") != F.col("last.high_content"))
+    ends = save(ends.where(shared).select("hash", F.col("source.low_doc").alias("doc_id"), F.col("source.low_content").alias("content")), "ends")
+    told = runs.select("key", "part", "hash").join(ends, "hash").select("key", "part", F.lit(0).alias("kind"), "doc_id", "content", F.lit(0).alias("at"), "hash", F.lit(None).cast("array<bigint>").alias("hashes"))
+    rows = many.select("key", "part", F.lit(1).alias("kind"), "doc_id", "content", "at", F.lit(0).cast("bigint").alias("hash"), "hashes")
+    both = told.unionByName(rows).repartition("key", "part").sortWithinPartitions("key", "part", "kind")
+    return both.mapInArrow(matched, SPANS)
 
 
 def of_lines(sure: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -282,7 +332,7 @@ def passages(docs: DataFrame) -> DataFrame:
     window = found.where("bands IS NULL")
     row = F.xxhash64("doc_id", "content")
     shared = window.groupBy("key").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = save(shared.where("a < b").select("key", (F.col("n") > KEY_ROWS).alias("large")), "shared")
+    shared = save(shared.where("a < b").select("key", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("parts")), "shared")
     lines = found.where("bands IS NOT NULL")
     banded = lines.select("key", F.explode("bands").alias("band"))
     together = save(banded.groupBy("band").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("band", "lead"), "bands")
@@ -292,8 +342,8 @@ def passages(docs: DataFrame) -> DataFrame:
     of_line = lines.select("key", "doc_id", "content", "at").join(clusters.select(F.col("id").alias("key")), "key")
     first = save(of_line.groupBy("key").agg(F.min(F.struct("doc_id", "content", "at")).alias("m")), "first")
     asked = F.when(F.struct("doc_id", "content", "at") == F.col("m"), LINE_SET).otherwise(LINE)
-    of_line = of_line.join(first, "key").select("doc_id", "content", F.struct("at", asked.alias("kind"), "key", F.lit(False).alias("large")).alias("place"))
-    of_window = window.join(shared, "key").select("doc_id", "content", F.struct("at", F.lit(WINDOW).alias("kind"), "key", "large").alias("place"))
+    of_line = of_line.join(first, "key").select("doc_id", "content", F.struct("at", asked.alias("kind"), "key", F.lit(1).alias("parts")).alias("place"))
+    of_window = window.join(shared, "key").select("doc_id", "content", F.struct("at", F.lit(WINDOW).alias("kind"), "key", "parts").alias("place"))
     wanted = of_window.unionByName(of_line).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("id_content")).agg(F.collect_set("place").alias("places"))
     wanted = save(wanted, "wanted")
     drop(found)
