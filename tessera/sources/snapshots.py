@@ -168,13 +168,15 @@ class SnapshotTable:
         stream.write(manifest.encode())
         stream.close()
         target, claim = self._path(f"{self.root}/v{version}.json"), self._path(f"{self.root}/claim-{version}")
-        # the claim decides between writers; a whole manifest then appears at once
-        if version in self.versions() or not self._fs.createNewFile(claim):
+        # the claim decides between writers, and only who holds it looks for a manifest: one published since then is seen
+        claimed = self._fs.createNewFile(claim)
+        published = claimed and version not in self.versions() and self._fs.rename(draft, target)  # a whole manifest appears at once
+        if claimed:
+            self._fs.delete(claim, False)
+        if not published:
             self._fs.delete(draft, False)
             self._fs.delete(self._path(f"{self.root}/{folders[-1]}"), True)
             raise RuntimeError(f"version {version} was published by another writer")
-        self._fs.rename(draft, target)
-        self._fs.delete(claim, False)
 
 
 def update_rows(df: DataFrame, predicate: Column, changes: Mapping[str, object]) -> DataFrame:

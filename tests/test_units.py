@@ -170,6 +170,27 @@ def test_two_writers(spark, tmp_path):
     assert table.vacuum() == [1, 2] and rows(table.read()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_a_writer_that_publishes_before_the_claim_is_seen(spark, tmp_path):
+    """The other writer publishes after this one has written its rows and just before it claims the version."""
+    table = SnapshotTable.create(spark, f"{tmp_path}/t", spark.createDataFrame([(1, "a")], "id int, name string"))
+    other, files = SnapshotTable(spark, f"{tmp_path}/t"), table._fs
+
+    class Late:
+        def __getattr__(self, name):
+            return getattr(files, name)
+
+        def createNewFile(self, path):
+            other.insert(spark.createDataFrame([(2, "b")], "id int, name string"))
+            return files.createNewFile(path)
+
+    table._fs = Late()
+    with pytest.raises(RuntimeError):
+        table.insert(spark.createDataFrame([(3, "c")], "id int, name string"))
+    table._fs = files
+    assert rows(table.read()) == [(1, "a"), (2, "b")] and table.insert(spark.createDataFrame([(3, "c")], "id int, name string")) == 1
+    assert rows(table.read()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_sorted_table(spark, tmp_path):
     """Rows stay sorted through changes, which are counted once."""
     table = SnapshotTable.create(spark, f"{tmp_path}/t", spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(0).alias("v")))
