@@ -177,6 +177,7 @@ def confirm(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(texts, run, FOUND)
 
 
+#: Rows of no words (start = end) only link documents.
 SPANS = "doc_id bigint, content bigint, start int, end int, source_doc bigint, source_content bigint"
 
 
@@ -198,16 +199,40 @@ def extremes(rank: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> tuple[np.
     return by, first, np.minimum.reduceat(own, first) if len(by) else own, np.maximum.reduceat(own, first) if len(by) else own
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n nodes that links (a, b) join each one with."""
+    least = np.arange(n)
+    while (apart := least[a] != least[b]).any():
+        a, b = a[apart], b[apart]
+        x, y = least[a], least[b]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least != least[least]).any():
+            least = least[least]
+    return least
+
+
 def covered(docs: np.ndarray, contents: np.ndarray, at: np.ndarray, row: np.ndarray, place: np.ndarray, source: np.ndarray, source_docs: np.ndarray, source_contents: np.ndarray) -> list[np.ndarray]:
-    """The columns of SPANS from shared runs (row, place in its window, number of their source; by row and place): for
-    each window and source the words that the runs cover."""
-    pair = row * (len(source_docs) + 1) + source
-    by = np.argsort(pair, kind="stable")
-    pair, place = pair[by], place[by]
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else by
-    last = np.concatenate([first[1:], [len(pair)]]).astype(np.int64) - 1 if len(pair) else by
-    own, of = pair[first] // (len(source_docs) + 1), pair[first] % (len(source_docs) + 1)
-    return [docs[own], contents[own], at[own] + place[first], at[own] + place[last] + PASSAGE, source_docs[of], source_contents[of]]
+    """The columns of SPANS from shared runs (row, place in its window, rank of their source; by row and place).
+
+    Runs of one window overlap, so a window gives one span of the runs whose source it is itself and one of the others,
+    with their least source. What further sources a window has is told once for all windows, by rows of no words that
+    join sources: the rows grow with the windows and the sources, not with their product.
+    """
+    own = (source_docs[source] == docs[row]) & (source_contents[source] == contents[row])
+    side = row * 2 + own
+    by = np.argsort(side, kind="stable")
+    side, place, source = side[by], place[by], source[by]
+    first = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]])) if len(side) else by
+    last = np.concatenate([first[1:], [len(side)]]).astype(np.int64) - 1 if len(side) else by
+    least = np.minimum.reduceat(source, first) if len(side) else source
+    lead = np.repeat(least, last - first + 1)
+    more = lead != source
+    root = joined(len(source_docs), lead[more], source[more])
+    tied, window = np.flatnonzero(root != np.arange(len(root))), side[first] // 2
+    none = np.zeros(len(tied), np.int64)
+    spans = [docs[window], contents[window], at[window] + place[first], at[window] + place[last] + PASSAGE, source_docs[least], source_contents[least]]
+    ties = [source_docs[tied], source_contents[tied], none, none, source_docs[root[tied]], source_contents[root[tied]]]
+    return [np.concatenate(x) for x in zip(spans, ties, strict=True)]
 
 
 def flattened(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -327,7 +352,7 @@ def of_lines(sure: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, content, text. SPANS (in words, not yet merged) of each occurrence of what two documents share, and kept: it is the source itself."""
+    """docs: doc_id, content, text. SPANS (in words, not yet merged) of all occurrences of what two documents share, and kept: it is the source itself."""
     found = save(units(docs), "units")
     window = found.where("bands IS NULL")
     row = F.xxhash64("doc_id", "content")
@@ -371,7 +396,7 @@ def merged(spans: DataFrame) -> DataFrame:
             columns = [pa.array([doc] * len(at), pa.int64()), pa.array([text] * len(at), pa.int64()), pa.array([bool(k)] * len(at)), pa.array(start[at]), pa.array(np.maximum.reduceat(end, at)), pa.array(np.minimum.reduceat(source, at))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MERGED.split(", ")])
 
-    rows = spans.select("doc_id", "content", F.col("kept").cast("bigint").alias("k"), "start", "end", "source_doc")
+    rows = spans.where("start < end").select("doc_id", "content", F.col("kept").cast("bigint").alias("k"), "start", "end", "source_doc")
     return rows.repartition("doc_id", "content", "k").sortWithinPartitions("doc_id", "content", "k", "start", "end").mapInArrow(run, MERGED)
 
 

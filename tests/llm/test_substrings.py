@@ -139,6 +139,46 @@ def test_exactly_the_shared_runs(spark, monkeypatch, limit):
     assert sorted((str(r.doc_id), blanks_split(r.text)) for r in left) == sorted(expected)
 
 
+@pytest.mark.parametrize("trial", range(20))
+def test_spans_grow_with_windows_and_links_join_as_runs_do(trial):
+    """Each window's runs have sources of their own: a span a side, and rows of no words that join what the runs join."""
+    r = np.random.default_rng(trial)
+    windows, sources = 60, 40
+    docs, of = np.sort(r.integers(0, 50, windows)), np.arange(sources) * (1 + trial % 3)
+    keep = r.random((windows, s.SPREAD)) < 0.3
+    row, place = np.nonzero(keep)
+    source = r.integers(0, sources if trial % 2 else 3, len(row))
+    contents, at = np.zeros(windows, np.int64), np.arange(windows) * 1000
+    out = np.stack(s.covered(docs, contents, at, row, place, source, of, np.zeros(sources, np.int64)), 1)
+
+    def parts(pairs):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            root[find(x)] = find(y)
+        groups: dict = {}
+        for x in list(root):
+            groups.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, groups.values()))
+
+    runs = [(int(docs[w]), int(of[k])) for w, k in zip(row, source, strict=True)]
+    assert parts((int(o[0]), int(o[4])) for o in out) == parts(runs)
+    spans = sorted(map(tuple, out[out[:, 2] < out[:, 3]].tolist()))
+    expected = []
+    for w in range(windows):
+        mine = place[row == w], of[source[row == w]]
+        for own in (False, True):
+            side = (mine[1] == docs[w]) == own
+            if side.any():
+                expected.append((docs[w], 0, at[w] + mine[0][side].min(), at[w] + mine[0][side].max() + s.PASSAGE, mine[1][side].min(), 0))
+    assert spans == sorted(expected) and len(out) < 2 * windows + sources
+
+
 def test_removal(spark):
     texts = corpus()
     df = frame(spark, [*texts.items(), (13, texts[13])])
