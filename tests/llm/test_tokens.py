@@ -147,6 +147,39 @@ def test_word_ids_of_all_characters():
         same_ids(IDS, texts[a : a + 20_000])
 
 
+SPY_TEXTS = ["walking river", "Walking, river... WALKING!!! (walking", "walking%%% river; river?! walkıng. walking,,,,,,,,,, RIVER#"]
+
+
+def test_a_word_is_encoded_once_whatever_signs_follow(monkeypatch):
+    ids, seen = packing.WordIds(WORDS), []
+
+    class Spy:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(w for t in texts for w in t.split())
+            return self.own.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(ids, "bare", Spy(ids.bare))
+    same_ids(ids, SPY_TEXTS[:1])
+    assert sorted(seen) == ["river", "walking"]
+    same_ids(ids, ["walking, river.", "Walking! RIVER%%%"])
+    assert sorted(seen) == ["river", "walking"]
+    for t in SPY_TEXTS:
+        same_ids(ids, [t])
+
+
+@pytest.mark.parametrize("part", [1, 40, 10**6])
+def test_word_ids_of_new_words_in_parts(part, monkeypatch):
+    """Latin words in any case and signs of any number behind them, learned over several calls and in parts of a call."""
+    monkeypatch.setattr(packing, "SLICE_BYTES", part, raising=False)
+    rnd, ids = random.Random(5), packing.WordIds(WORDS)
+    for _ in range(6):
+        words = ["".join(rnd.choices("abcdeÀÉñßçøABCÿŸǅȺª", k=rnd.randrange(1, 4))) + "".join(rnd.choices(".,!%\"'", k=rnd.choice([0, 0, 1, 3, 8, 9, 20]))) for _ in range(1500)]
+        same_ids(ids, [" ".join(words), " ".join(words[:700]), "", ".", "....... . ,"])
+
+
 @pytest.mark.parametrize("docs", [3, 512])
 def test_packing(spark, docs, monkeypatch):
     rnd = random.Random(4)
@@ -200,6 +233,32 @@ def test_neighbours_share_words():
     assert got.tolist()[:5] == want[:5]
 
 
+def test_index_drops_used_documents():
+    """Scores of free documents stay those in the whole shard, and entries of used ones are read no more."""
+    rnd = np.random.default_rng(1)
+    docs = [rnd.integers(0, 400, rnd.integers(5, 90)).astype(np.uint32) for _ in range(120)]
+    index = packing.Index(docs)
+    entries = len(index.owner)
+    free = np.arange(120)
+    while len(free) > 8:
+        free = np.sort(rnd.choice(free, len(free) - 7, replace=False))
+        doc = int(rnd.integers(0, 120))
+        assert index.ranked(doc, free, 5).tolist() == packing.Index(docs).ranked(doc, free, 5).tolist()
+        assert index.ranked(doc, free, 5).tolist()[:3] == naive_bm25(docs, doc, free)[:3]
+    assert len(index.owner) < entries / 4
+
+
+def naive_bm25(docs, query, free):
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    score = dict.fromkeys(free.tolist(), 0.0)
+    for t in np.unique(docs[query]):
+        df = sum(t in d for d in docs)
+        for i in score:
+            tf = (docs[i] == t).sum()
+            score[i] += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean))
+    return sorted(score, key=lambda i: (-score[i], i))
+
+
 def test_neighbours_reach_over_a_thousand_rows(spark):
     """A seed finds its near copy 900 rows on in the same task."""
     rnd = random.Random(7)
