@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Name of a strategy -> Spark's hint.
@@ -17,6 +19,9 @@ STRATEGIES = {
 #: Bytes of a side that may be sent to every task.
 BROADCAST_BYTES = 64 << 20
 
+#: Pairs of rows, and rows, that make a task's work where few small rows have many partners; keys sent to every task.
+PAIRS, ROWS, KEYS = 1 << 24, 1 << 20, 1 << 16
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate for the rows; very large where it knows nothing."""
@@ -35,6 +40,32 @@ def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", stra
     return left.join(right, on, how)
 
 
+def above(left: DataFrame, right: DataFrame, key: tuple[str, str], value: tuple[str, str], block: int = 256) -> DataFrame:
+    """Inner join where the keys are equal and the left value is greater. Columns must differ by name; left ones come first.
+
+    The rows out can outgrow both sides by far, which neither a table's files nor its bytes tell. So a key's left rows are
+    dealt out in parts of PAIRS pairs, and its right rows travel to each part, in blocks by ascending value: those that
+    begin above a left row's value are not opened. A key's right rows are sorted in one task; no task holds a part.
+    """
+    left, right = (t.where(F.col(k).isNotNull() & F.col(v).isNotNull()) for t, k, v in zip((left, right), key, value, strict=True))
+    counts = [t.groupBy(F.col(k).alias("__key")).agg(F.count(F.lit(1)).cast("double").alias(n)) for t, k, n in zip((left, right), key, ("__l", "__r"), strict=True)]
+    met = counts[0].join(counts[1], "__key")
+    pairs = F.col("__l") * F.col("__r")
+    total = met.agg(F.sum(pairs / PAIRS + (F.col("__l") + F.col("__r")) / ROWS), F.count(F.lit(1))).first()
+    tasks = max(1, math.ceil(total[0] or 0))
+    parts = met.select("__key", F.ceil(pairs / PAIRS).alias("__parts"))
+    if total[1] <= KEYS:
+        parts = F.broadcast(parts)
+
+    rank = F.row_number().over(Window.partitionBy(key[1]).orderBy(value[1], *right.columns))
+    blocks = right.withColumn("__at", F.floor((rank - 1) / block)).groupBy(key[1], "__at").agg(F.min(value[1]).alias("__least"), F.collect_list(F.struct(*right.columns)).alias("__rows"))
+    blocks = blocks.join(parts, F.col(key[1]) == F.col("__key")).select(F.col("__key").alias("__k"), "__least", "__rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)).alias("__p"))
+    dealt = left.join(parts, F.col(key[0]) == F.col("__key")).withColumn("__part", F.pmod(F.xxhash64(*left.columns), "__parts"))
+    met = (F.col("__key") == F.col("__k")) & (F.col("__part") == F.col("__p")) & (F.col(value[0]) > F.col("__least"))
+    opened = dealt.repartition(tasks, "__key", "__part").join(blocks.repartition(tasks, "__k", "__p").hint("merge"), met)
+    return opened.select(*left.columns, F.inline("__rows")).where(F.col(value[0]) > F.col(value[1]))
+
+
 def against(rows: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
     """Every row with every query row, in blocks of queries: a row travels once a block, and each meeting is one generator.
 

@@ -212,8 +212,9 @@ def join_nested_loop(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal")
 def join_residual(spark: SparkSession, d: str) -> DataFrame:
-    on = (c("c_nationkey") == c("s_nationkey")) & (c("c_acctbal") > c("s_acctbal"))
-    return joins.join(scan(spark, d, "customer"), scan(spark, d, "supplier"), on).select("c_custkey", "s_suppkey")
+    customers = scan(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    suppliers = scan(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return joins.above(customers, suppliers, ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")

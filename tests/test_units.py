@@ -10,6 +10,7 @@ from tessera.functions.vectors import cosine, dot
 from tessera.functions.visibility import ReadView, visible
 from tessera.operators import joins
 from tessera.operators import relational as rel
+from tessera.plans.catalogue import QUERIES
 from tessera.plans.logictest import parse, run
 from tessera.plans.sql import SqlEngine
 from tessera.sources.snapshots import SnapshotTable
@@ -115,6 +116,24 @@ def test_against(spark, monkeypatch):
         assert joins.against(a, b.where("false")).count() == 0
 
 
+def test_above(spark, monkeypatch):
+    """NULLs, NaN, signed zeros, ties, repeated rows and a hot key, as the plain join; pairs tell the number of tasks, not bytes."""
+    nan = float("nan")
+    odd = [None, nan, -0.0, 0.0, 1.5, 1.5, float("inf")]
+    a = spark.createDataFrame([(i, None if i % 11 == 0 else max(0, i % 20 - 12), odd[i % 7] if i % 3 else i % 23 * 1.0) for i in [*range(300), 5, 5]], "x long, k int, v double")
+    b = spark.createDataFrame([(i, None if i % 13 == 0 else max(0, i % 20 - 13), odd[i % 7] if i % 2 else i % 19 * 1.0) for i in [*range(200), 7, 7]], "y long, j long, w double")
+    want = str(rows(a.join(b, (F.col("k") == F.col("j")) & (F.col("v") > F.col("w")))))  # NaN equals none
+    for pairs, keys in ((1 << 24, 1 << 16), (1000, 0)):
+        monkeypatch.setattr(joins, "PAIRS", pairs)
+        monkeypatch.setattr(joins, "KEYS", keys)
+        got = joins.above(a, b, ("k", "j"), ("v", "w"), block=7)
+        assert str(rows(got)) == want and got.count() > 3000
+    assert got.rdd.getNumPartitions() > 10
+    assert joins.above(a, b.where("false"), ("k", "j"), ("v", "w")).count() == 0
+    monkeypatch.setattr(joins, "PAIRS", 100)
+    assert QUERIES["join_residual"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_stats(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 10).alias("v"))
     s = column_stats(df, "v", exact=True).first()
