@@ -66,18 +66,32 @@ def above(left: DataFrame, right: DataFrame, key: tuple[str, str], value: tuple[
     return opened.select(*left.columns, F.inline("__rows")).where(F.col(value[0]) > F.col(value[1]))
 
 
+def grid(rows: DataFrame, queries: DataFrame, block: int, pairs: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides in copies such that a row and a query row meet in one pair of __part and __block, and the number of such pairs.
+
+    A block holds about `block` query rows, and a part as many rows as make `pairs` pairs with them, whatever their bytes.
+    """
+    asked = queries.count()
+    held = rows.count()
+    blocks = max(1, math.ceil(asked / block))
+    parts = max(1, math.ceil(held * min(asked, block) / pairs + held / ROWS))
+
+    def copies(df: DataFrame, own: str, n: int, other: str, times: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint")))
+        return df.select("*", F.pmod(F.xxhash64(*df.columns), F.lit(n)).alias(own), each.alias(other))
+
+    return copies(rows, "__part", parts, "__block", blocks), copies(queries, "__block", blocks, "__part", parts), parts * blocks
+
+
 def against(rows: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
     """Every row with every query row, in blocks of queries: a row travels once a block, and each meeting is one generator.
 
-    Blocks are broadcast if the queries are estimated within BROADCAST_BYTES; beyond it they are joined by their number.
+    The work is dealt out by pairs (grid), and both sides travel by shuffles at every size.
     """
-    n = max(1, -(-queries.count() // block))
-    dealt = queries.select(F.pmod(F.xxhash64(*queries.columns), F.lit(n)).alias("__block"), F.struct(*queries.columns).alias("__query"))
-    blocks = dealt.groupBy("__block").agg(F.collect_list("__query").alias("__queries"))
-    if estimated_bytes(queries) <= BROADCAST_BYTES:
-        blocks = F.broadcast(blocks)
-    copies = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("__block"))
-    return copies.join(blocks, "__block").select(*rows.columns, F.inline("__queries"))
+    dealt, asked, tasks = grid(rows, queries, block, PAIRS)
+    where = ["__part", "__block"]
+    blocks = asked.repartition(tasks, *where).groupBy(*where).agg(F.collect_list(F.struct(*queries.columns)).alias("__queries"))
+    return dealt.repartition(tasks, *where).join(blocks.hint("merge"), where).select(*rows.columns, F.inline("__queries"))
 
 
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from tessera.functions.encoding import delta_decode, delta_encode, dictionary_en
 from tessera.functions.expressions import int_div, wide
 from tessera.functions.ordering import numbered
 from tessera.functions.stats import column_stats, distinct_sketch, equi_depth_exact, selectivity
-from tessera.functions.vectors import dot
 from tessera.functions.visibility import ReadView, visible
 from tessera.operators import joins
 from tessera.operators import relational as rel
+from tessera.operators.products import dots
 from tessera.plans.sql import SqlEngine
 from tessera.sources.scratch import fresh
 from tessera.sources.snapshots import delete_rows, union_all, update_rows
@@ -315,9 +315,9 @@ def stats_equidepth(spark: SparkSession, d: str) -> DataFrame:
           FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0""")
 def vector_dot(spark: SparkSession, d: str) -> DataFrame:
     rows = scan(spark, d, "embeddings")
-    queries = rows.where("vec_id % 50 = 0").select(c("vec_id").alias("a_id"), c("embedding").alias("a"))
-    pairs = joins.against(rows.select(c("vec_id").alias("b_id"), c("embedding").alias("b")), queries)
-    return pairs.select("a_id", "b_id", (F.rint(dot(c("a"), c("b")) * 10000) / 10000).alias("dot"))  # keeps a zero's sign
+    queries = rows.where("vec_id % 50 = 0").select("vec_id", "embedding")
+    pairs = dots(rows.select("vec_id", "embedding"), queries)
+    return pairs.select("a_id", "b_id", (F.rint(c("dot") * 10000) / 10000).alias("dot"))  # keeps a zero's sign
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 ORDER BY o_orderkey")

@@ -8,7 +8,7 @@ from tessera.functions.expressions import int_div
 from tessera.functions.stats import column_stats, distinct_sketch, equi_depth_exact, selectivity
 from tessera.functions.vectors import cosine, dot
 from tessera.functions.visibility import ReadView, visible
-from tessera.operators import joins
+from tessera.operators import joins, products
 from tessera.operators import relational as rel
 from tessera.plans.catalogue import QUERIES
 from tessera.plans.logictest import parse, run
@@ -134,6 +134,27 @@ def test_above(spark, monkeypatch):
     assert QUERIES["join_residual"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
 
 
+def test_dots(spark, monkeypatch):
+    """NULLs, other lengths, NaN, infinity and signed zeros, to the last bit as the expression; pairs tell the number of tasks."""
+    def vector(i):
+        if i % 9 == 8:
+            return [None, [], [1.0, None, 2.0], [1.0, 2.0], [float("nan")] * 3, [float("inf"), 1.0, 0.0], [-0.0, 0.0, -0.0], [1e30, 1.0, -1e30]][i // 9 % 8]
+        return [((i * k * 7919) % 1000 - 500) / 300 for k in (1, 2, 3)]
+
+    a = spark.createDataFrame([(i, vector(i)) for i in [*range(300), 5, 5]] + [(None, vector(1))], "x long, v array<float>").repartition(3)
+    b = spark.createDataFrame([(i, vector(i)) for i in [*range(120), 7, 7]], "y long, w array<float>")
+    for left, right in ((a, b), (a.where("x % 9 < 8"), b.where("y % 9 < 8"))):
+        want = rows(left.crossJoin(right).select("x", "y", dot(F.col("v"), F.col("w"))))
+        for block, pairs, slab in ((2048, 1 << 22, 1 << 15), (16, 500, 64), (64, 4000, 7)):
+            for name, n in (("BLOCK", block), ("PAIRS", pairs), ("SLAB", slab)):
+                monkeypatch.setattr(products, name, n)
+            got = products.dots(left, right)
+            assert str(rows(got.select("b_id", "a_id", "dot"))) == str(want)  # NaN equals none
+    assert products.dots(a, b.where("false")).count() == products.dots(a.where("false"), b).count() == 0
+    monkeypatch.setattr(products, "PAIRS", 100)
+    assert QUERIES["vector_dot"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_stats(spark):
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 10).alias("v"))
     s = column_stats(df, "v", exact=True).first()
