@@ -20,7 +20,8 @@ BLOCK, PAIRS, SLAB = 2048, 1 << 22, 1 << 15
 def vectors(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and components (double) of the vectors of each length. NULL vectors, and those that hold NULL, are left out."""
     ends = np.asarray(column.offsets)
-    inside = column.values
+    inside = column.values.slice(ends[0], ends[-1] - ends[0])  # a slice's values are those of its whole batch
+    ends = ends - ends[0]
     usable = np.asarray(column.is_valid())
     if inside.null_count:
         gaps = np.concatenate([[0], np.cumsum(np.asarray(inside.is_null()))])
