@@ -19,8 +19,9 @@ STRATEGIES = {
 #: Bytes of a side that may be sent to every task.
 BROADCAST_BYTES = 64 << 20
 
-#: Pairs of rows, and rows, that make a task's work where few small rows have many partners; keys sent to every task.
-PAIRS, ROWS, KEYS = 1 << 24, 1 << 20, 1 << 16
+#: Pairs of rows, and rows, that make a task's work where few small rows have many partners; a key's right rows that meet
+#: a left row in one task; keys sent to every task.
+PAIRS, ROWS, WIDE, KEYS = 1 << 24, 1 << 20, 1 << 16, 1 << 16
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -43,31 +44,36 @@ def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", stra
 def above(left: DataFrame, right: DataFrame, key: tuple[str, str], value: tuple[str, str], block: int = 256) -> DataFrame:
     """Inner join where the keys are equal and the left value is greater. Columns must differ by name; left ones come first.
 
-    The rows out can outgrow both sides by far, which neither a table's files nor its bytes tell. So a key's left rows are
-    dealt out in parts of PAIRS pairs, and its right rows travel to each part, in blocks by ascending value: those that
-    begin above a left row's value are not opened. A key's right rows are sorted in one task; no task holds a part.
+    The rows out can outgrow both sides by far, which neither a table's files nor its bytes tell. So a key's right rows,
+    sorted by value, are cut in chunks of WIDE rows, and its left rows are dealt out in parts that make PAIRS pairs with a
+    chunk. Where a part meets a chunk, its rows stream past blocks, of which those that begin above a row's value are not
+    opened. The sort of one key's right rows is one task's, which spills; nothing else grows with a key.
     """
     left, right = (t.where(F.col(k).isNotNull() & F.col(v).isNotNull()) for t, k, v in zip((left, right), key, value, strict=True))
     counts = [t.groupBy(F.col(k).alias("__key")).agg(F.count(F.lit(1)).cast("double").alias(n)) for t, k, n in zip((left, right), key, ("__l", "__r"), strict=True)]
-    met = counts[0].join(counts[1], "__key")
-    pairs = F.col("__l") * F.col("__r")
-    total = met.agg(F.sum(pairs / PAIRS + (F.col("__l") + F.col("__r")) / ROWS), F.count(F.lit(1))).first()
+    sizes = counts[0].join(counts[1], "__key").withColumns({"__parts": F.ceil(F.col("__l") * F.least("__r", F.lit(float(WIDE))) / PAIRS), "__chunks": F.ceil(F.col("__r") / WIDE)})
+    work = F.col("__l") * F.col("__r") / PAIRS + (F.col("__l") * F.col("__chunks") + F.col("__r") * F.col("__parts")) / ROWS
+    total = sizes.agg(F.sum(work), F.count(F.lit(1))).first()
     tasks = max(1, math.ceil(total[0] or 0))
-    parts = met.select("__key", F.ceil(pairs / PAIRS).alias("__parts"))
+    sizes = sizes.select("__key", "__parts", "__chunks")
     if total[1] <= KEYS:
-        parts = F.broadcast(parts)
-
-    rank = F.row_number().over(Window.partitionBy(key[1]).orderBy(value[1], *right.columns))
-    blocks = right.withColumn("__at", F.floor((rank - 1) / block)).groupBy(key[1], "__at").agg(F.min(value[1]).alias("__least"), F.collect_list(F.struct(*right.columns)).alias("__rows"))
-    blocks = blocks.join(parts, F.col(key[1]) == F.col("__key")).select(F.col("__key").alias("__k"), "__least", "__rows", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts") - 1)).alias("__p"))
-    dealt = left.join(parts, F.col(key[0]) == F.col("__key")).withColumn("__part", F.pmod(F.xxhash64(*left.columns), "__parts"))
-    met = (F.col("__key") == F.col("__k")) & (F.col("__part") == F.col("__p")) & (F.col(value[0]) > F.col("__least"))
-    opened = dealt.repartition(tasks, "__key", "__part").join(blocks.repartition(tasks, "__k", "__p").hint("merge"), met)
+        sizes = F.broadcast(sizes)
+
+    def each(times: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1))
+
+    place = F.row_number().over(Window.partitionBy(key[1]).orderBy(value[1], *right.columns)) - 1
+    cut = right.withColumn("__place", place).withColumns({"__c": F.floor(F.col("__place") / WIDE), "__at": F.floor(F.col("__place") % WIDE / block)})
+    blocks = cut.groupBy(key[1], "__c", "__at").agg(F.min(value[1]).alias("__least"), F.collect_list(F.struct(*right.columns)).alias("__rows"))
+    blocks = blocks.join(sizes, F.col(key[1]) == F.col("__key")).select(F.col("__key").alias("__k"), "__c", "__least", "__rows", each("__parts").alias("__p"))
+    dealt = left.join(sizes, F.col(key[0]) == F.col("__key")).select(*left.columns, "__key", F.pmod(F.xxhash64(*left.columns), "__parts").alias("__part"), each("__chunks").alias("__chunk"))
+    met = (F.col("__key") == F.col("__k")) & (F.col("__part") == F.col("__p")) & (F.col("__chunk") == F.col("__c")) & (F.col(value[0]) > F.col("__least"))
+    opened = dealt.repartition(tasks, "__key", "__part", "__chunk").join(blocks.repartition(tasks, "__k", "__p", "__c").hint("merge"), met)
     return opened.select(*left.columns, F.inline("__rows")).where(F.col(value[0]) > F.col(value[1]))
 
 
 def grid(rows: DataFrame, queries: DataFrame, block: int, pairs: int) -> tuple[DataFrame, DataFrame, int]:
-    """Both sides in copies such that a row and a query row meet in one pair of __part and __block, and the number of such pairs.
+    """Both sides in copies such that a row and a query row meet in one pair of __part and __block, and tasks for the work.
 
     A block holds about `block` query rows, and a part as many rows as make `pairs` pairs with them, whatever their bytes.
     """
@@ -80,7 +86,8 @@ def grid(rows: DataFrame, queries: DataFrame, block: int, pairs: int) -> tuple[D
         each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint")))
         return df.select("*", F.pmod(F.xxhash64(*df.columns), F.lit(n)).alias(own), each.alias(other))
 
-    return copies(rows, "__part", parts, "__block", blocks), copies(queries, "__block", blocks, "__part", parts), parts * blocks
+    tasks = max(1, math.ceil(held * asked / pairs + (held * blocks + asked * parts) / ROWS))
+    return copies(rows, "__part", parts, "__block", blocks), copies(queries, "__block", blocks, "__part", parts), tasks
 
 
 def against(rows: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:

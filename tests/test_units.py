@@ -123,8 +123,9 @@ def test_above(spark, monkeypatch):
     a = spark.createDataFrame([(i, None if i % 11 == 0 else max(0, i % 20 - 12), odd[i % 7] if i % 3 else i % 23 * 1.0) for i in [*range(300), 5, 5]], "x long, k int, v double")
     b = spark.createDataFrame([(i, None if i % 13 == 0 else max(0, i % 20 - 13), odd[i % 7] if i % 2 else i % 19 * 1.0) for i in [*range(200), 7, 7]], "y long, j long, w double")
     want = str(rows(a.join(b, (F.col("k") == F.col("j")) & (F.col("v") > F.col("w")))))  # NaN equals none
-    for pairs, keys in ((1 << 24, 1 << 16), (1000, 0)):
+    for pairs, wide, keys in ((1 << 24, 1 << 16, 1 << 16), (1000, 1 << 16, 0), (300, 20, 0)):
         monkeypatch.setattr(joins, "PAIRS", pairs)
+        monkeypatch.setattr(joins, "WIDE", wide)
         monkeypatch.setattr(joins, "KEYS", keys)
         got = joins.above(a, b, ("k", "j"), ("v", "w"), block=7)
         assert str(rows(got)) == want and got.count() > 3000
